@@ -481,9 +481,9 @@ def _picked(lists: pa.ChunkedArray, rows: np.ndarray) -> pa.ChunkedArray:
 
 
 def _best(keep: list[np.ndarray], limit: int) -> list[np.ndarray]:
-    """First *limit* of (similarity rank, url rank, url rank, row, column) columns."""
+    """First *limit* of the columns (similarity, url rank, url rank, row, column)."""
     sim, r1, r2, i, j = keep
-    order = np.lexsort((np.maximum(r1, r2), np.minimum(r1, r2), -sim))[:limit]
+    order = np.lexsort((np.maximum(r1, r2), np.minimum(r1, r2), -np.round(sim, RANK_DIGITS)))[:limit]
     return [c[order] for c in (sim, r1, r2, i, j)]
 
 
@@ -506,7 +506,7 @@ def _top_pairs_kernel(max_distance: float, limit: int):
             if not len(r):
                 continue
             found = [
-                np.round(1.0 - distance[r, c], RANK_DIGITS),
+                1.0 - distance[r, c],
                 rank[rows[r]],
                 rank[columns[c]],
                 rows[r],
@@ -529,7 +529,8 @@ def _top_pairs_kernel(max_distance: float, limit: int):
 
 def _expand_top_pairs(group_pairs: DataFrame, limit: int) -> DataFrame:
     """From pairs of copy groups to the first *limit* page pairs of each site."""
-    lead = [F.desc("similarity"), F.asc("first1"), F.asc("first2")]
+    closeness = F.round("similarity", RANK_DIGITS).desc()
+    lead = [closeness, F.asc("first1"), F.asc("first2")]
     slim = group_pairs.withColumns({"first1": F.col("urls1")[0], "first2": F.col("urls2")[0]})
     # pairs inside a group and between groups are ranked apart: only between groups do
     # the first URLs name the best pair
@@ -548,7 +549,7 @@ def _expand_top_pairs(group_pairs: DataFrame, limit: int) -> DataFrame:
             "similarity",
         )
     )
-    best = Window.partitionBy("site_id").orderBy(F.desc("similarity"), "url1", "url2")
+    best = Window.partitionBy("site_id").orderBy(closeness, "url1", "url2")
     return pages.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
 
 
@@ -579,18 +580,16 @@ POSTINGS_PER_SUBLIST = 512
 
 def _prefix(min_similarity: float) -> Column:
     """Leading (rarest) terms, as many as leave a rest shorter than the threshold."""
+    bar = (min_similarity - 1e-9) ** 2
     whole = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
-    start = F.struct(
-        F.sqrt(whole).alias("rest"), whole.alias("left"), F.lit(0).alias("taken")
-    )
+    start = F.struct(whole.alias("left"), F.lit(0).alias("taken"))
 
     def step(state, term):
-        left = state["left"] - term["w"] * term["w"]
-        more = F.sqrt(F.greatest(state["left"], F.lit(0.0))) >= min_similarity - 1e-9
+        # once the rest is short it stays as it is, so nothing more is taken
+        more = (state["left"] >= bar).cast("int")
         return F.struct(
-            state["rest"].alias("rest"),
-            F.when(more, left).otherwise(state["left"]).alias("left"),
-            F.when(more, state["taken"] + 1).otherwise(state["taken"]).alias("taken"),
+            (state["left"] - more * term["w"] * term["w"]).alias("left"),
+            (state["taken"] + more).alias("taken"),
         )
 
     return F.slice("terms", 1, F.aggregate("terms", start, step)["taken"])
@@ -623,42 +622,55 @@ def similar_term_pairs(
     length = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
     twins = groups.filter((F.size("urls") > 1) & (length > min_similarity)).select(
         "site_id", F.col("urls").alias("urls1"), F.col("urls").alias("urls2"),
-        F.round(length, RANK_DIGITS).alias("similarity"),
+        length.alias("similarity"),
     )
-    shared = F.filter("prefix", lambda t: t["df"] > 1)
-    prefixed = groups.withColumn("prefix", _prefix(min_similarity)).select(
-        "site_id",
-        "rep",
-        "urls",
-        F.transform(shared, lambda t: t["term"]).alias("prefix_terms"),
-        F.map_from_entries(
-            F.transform("terms", lambda t: F.struct(t["term"], t["w"]))
-        ).alias("weights"),
-        F.explode(shared).alias("posted"),
+    # rows of a posting are light: the weights are looked up for candidate pairs only
+    prefixed = (
+        groups.select("site_id", "rep", _prefix(min_similarity).alias("prefix"))
+        .withColumn("shared", F.filter("prefix", lambda t: t["df"] > 1))
+        .select(
+            "site_id",
+            "rep",
+            F.transform("shared", lambda t: t["term"]).alias("prefix_terms"),
+            F.explode("shared").alias("posted"),
+        )
     )
     sublists = F.ceil(F.col("posted.df") / postings_per_sublist).cast("int")
     posted = (
-        prefixed.withColumn("term", F.col("posted.term"))
-        .withColumn("sublists", sublists)
+        prefixed.withColumn("sublists", sublists)
         .withColumn("grp", F.pmod(F.xxhash64("rep"), F.col("sublists")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sublists") - 1)))
-        .withColumn("ci", F.least("grp", "other"))
-        .withColumn("cj", F.greatest("grp", "other"))
-        .drop("posted", "sublists", "other")
+        .select(
+            "site_id",
+            F.col("posted.term").alias("term"),
+            F.least("grp", "other").alias("ci"),
+            F.greatest("grp", "other").alias("cj"),
+            "rep",
+            "prefix_terms",
+            "grp",
+        )
     )
     cell = ["site_id", "term", "ci", "cj"]
-    left = posted.select(*cell, *[F.col(c).alias(c + "1") for c in ("rep", "urls", "prefix_terms", "weights", "grp")])
-    right = posted.select(*cell, *[F.col(c).alias(c + "2") for c in ("rep", "urls", "prefix_terms", "weights", "grp")])
+    carried = ("rep", "prefix_terms", "grp")
+    left = posted.withColumnsRenamed({c: c + "1" for c in carried})
+    right = posted.withColumnsRenamed({c: c + "2" for c in carried})
     first_common = F.array_intersect("prefix_terms1", "prefix_terms2")[0]
-    met = (
+    candidates = (
         left.join(right, cell)
         .filter(F.col("rep1") < F.col("rep2"))
         .filter((F.col("ci") == F.col("cj")) | (F.col("grp1") != F.col("grp2")))
         .filter(first_common == F.col("term"))
-        .select("site_id", "urls1", "urls2", V.sparse_dot("weights1", "weights2").alias("similarity"))
-        .filter(F.col("similarity") > min_similarity)
-        .withColumn("similarity", F.round("similarity", RANK_DIGITS))
+        .select("site_id", "rep1", "rep2")
     )
+    entries = F.transform("terms", lambda t: F.struct(t["term"], t["w"]))
+    rows = groups.select("site_id", "rep", "urls", F.map_from_entries(entries).alias("weights"))
+    met = candidates
+    for side in ("1", "2"):
+        named = rows.withColumnsRenamed({c: c + side for c in ("rep", "urls", "weights")})
+        met = met.join(named, ["site_id", "rep" + side])
+    met = met.select(
+        "site_id", "urls1", "urls2", V.sparse_dot("weights1", "weights2").alias("similarity")
+    ).filter(F.col("similarity") > min_similarity)
     return _expand_top_pairs(met.unionByName(twins), limit)
 
 
@@ -700,7 +712,8 @@ def _nearest_kernel(limit: int):
                 continue
             for start in range(0, len(queries), B.TILE_ROWS):
                 rows = queries[start : start + B.TILE_ROWS]
-                distance = np.round(B.cosine(values[rows], values[targets]), RANK_DIGITS)
+                exact = B.cosine(values[rows], values[targets])
+                distance = np.round(exact, RANK_DIGITS)
                 if len(targets) > limit:
                     last = np.partition(distance, limit - 1, axis=1)[:, limit - 1]
                     r, c = np.nonzero(distance <= last[:, None])
@@ -710,7 +723,7 @@ def _nearest_kernel(limit: int):
                 r, c = r[order], c[order]
                 place = np.arange(len(r)) - np.searchsorted(r, r)
                 r, c = r[place < limit], c[place < limit]
-                found.append((rows[r], targets[c], distance[r, c]))
+                found.append((rows[r], targets[c], exact[r, c]))
         q, t, d = (np.concatenate(part) for part in zip(*found)) if found else ([], [], [])
         q, t = np.asarray(q, np.int64), np.asarray(t, np.int64)
         return pa.table(
@@ -736,8 +749,9 @@ def nearest_pages(
     groups = listed_copies(vectors, k + 1)
     cells = _cells(groups, vectors, dimensions, group_rows)
     local = B.run_cells(cells, _nearest_kernel(k + 1), _NEIGHBOURS)
-    by_group = Window.partitionBy("site_id", "rep").orderBy("distance", F.col("urls")[0])
-    by_page = Window.partitionBy("site_id", "rep").orderBy("distance", "neighbour")
+    order = F.round("distance", RANK_DIGITS)
+    by_group = Window.partitionBy("site_id", "rep").orderBy(order, F.col("urls")[0])
+    by_page = Window.partitionBy("site_id", "rep").orderBy(order, "neighbour")
     candidates = (
         local.withColumn("rank", F.row_number().over(by_group))
         .filter(F.col("rank") <= k + 1)
@@ -745,7 +759,7 @@ def nearest_pages(
         .withColumn("rank", F.row_number().over(by_page))
         .filter(F.col("rank") <= k + 1)
         .groupBy("site_id", "rep")
-        .agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("found"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "distance", "neighbour"))).alias("found"))
     )
     # every page of a copy group takes the group's list and drops itself
     key = ["site_id", "h", "embedding"]

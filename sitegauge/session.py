@@ -30,6 +30,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows that are about to grow into the session's full partition count.
+
+    Naming the count keeps adaptive execution from merging small partitions of text that
+    will be many times bigger, and costly to make, right after the shuffle.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs and lost executors read the files, not the lineage."""
     context = df.sparkSession.sparkContext
