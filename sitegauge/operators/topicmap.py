@@ -202,14 +202,17 @@ def _tsne_weights(distance: np.ndarray, perplexity: float) -> np.ndarray:
 def _calibrated(method: str, perplexity: float):
     @F.pandas_udf("array<double>")
     def weights(distances: pd.Series) -> pd.Series:
-        result = pd.Series([None] * len(distances), index=distances.index, dtype=object)
+        listed = distances.tolist()
+        lengths = np.array([len(d) for d in listed])
+        result: list = [None] * len(listed)
         # rows of small sites have fewer neighbours; handle equal lengths together
-        for k, rows in distances.groupby(distances.map(len)):
-            d = np.vstack(rows.to_numpy())
+        for k in np.unique(lengths):
+            rows = np.flatnonzero(lengths == k)
+            d = np.vstack([listed[i] for i in rows])
             w = _umap_weights(d) if method == "umap" else _tsne_weights(d, min(perplexity, k))
-            for index, row in zip(rows.index, w):
-                result[index] = row
-        return result
+            for i, row in zip(rows, w):
+                result[i] = row.tolist()
+        return pd.Series(result, dtype=object)
 
     return weights
 
