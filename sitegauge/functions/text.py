@@ -28,8 +28,8 @@ WORD = r"[\p{L}\p{N}_]"
 def _drop_words(words: Column, stop_words: Sequence[str]) -> Column:
     if not stop_words:
         return words
-    stops = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(words, lambda w: ~F.array_contains(stops, w))
+    # a long literal list becomes a hash set, which array_contains() would not
+    return F.filter(words, lambda w: ~w.isin(*stop_words))
 
 
 def clean_text(text: Column | str) -> Column:
