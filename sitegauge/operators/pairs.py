@@ -8,9 +8,11 @@ so that the last bits of a matrix product never decide a tie; ties go by URL.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sitegauge.functions import vectors as V
 from sitegauge.functions.urls import process_url_path
@@ -578,21 +580,14 @@ def cannibalization(
 POSTINGS_PER_SUBLIST = 512
 
 
-def _prefix(min_similarity: float) -> Column:
-    """Leading (rarest) terms, as many as leave a rest shorter than the threshold."""
-    bar = (min_similarity - 1e-9) ** 2
-    whole = F.aggregate("terms", F.lit(0.0), lambda s, t: s + t["w"] * t["w"])
-    start = F.struct(whole.alias("left"), F.lit(0).alias("taken"))
+@F.pandas_udf(ArrayType(DoubleType()))
+def _rests(weights: pd.Series) -> pd.Series:
+    """Length of every row from each of its entries on."""
+    return weights.map(lambda w: np.sqrt(np.cumsum(np.square(w)[::-1])[::-1]))
 
-    def step(state, term):
-        # once the rest is short it stays as it is, so nothing more is taken
-        more = (state["left"] >= bar).cast("int")
-        return F.struct(
-            (state["left"] - more * term["w"] * term["w"]).alias("left"),
-            (state["taken"] + more).alias("taken"),
-        )
 
-    return F.slice("terms", 1, F.aggregate("terms", start, step)["taken"])
+# keeps the optimizer from copying the call into pushed-down filters, where it cannot run
+_rests = _rests.asNondeterministic()
 
 
 def similar_term_pairs(
@@ -604,10 +599,11 @@ def similar_term_pairs(
     """:func:`cannibalization` for sparse rows of length at most one, without comparing
     all pairs.
 
-    Two rows as similar as the threshold share a term of both prefixes, the first one
-    they have in common; they are compared at that term and nowhere else. Terms of a
-    single page find no partner and are not posted. A long posting list is cut into
-    sub-lists that meet in cells, as in the block join, so no key gathers it whole.
+    A prefix is the leading (rarest) terms, as many as leave a rest shorter than the
+    threshold. Two rows as similar as that share a term of both prefixes, namely the first
+    one they have in common. Terms of a single page find no partner and are not posted. A
+    long posting list is cut into sub-lists that meet in cells, as in the block join, so
+    no key gathers it whole.
     """
     key = ["site_id", "h", "terms"]
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("url"))
@@ -624,20 +620,18 @@ def similar_term_pairs(
         "site_id", F.col("urls").alias("urls1"), F.col("urls").alias("urls2"),
         length.alias("similarity"),
     )
-    # rows of a posting are light: the weights are looked up for candidate pairs only
-    prefixed = (
-        groups.select("site_id", "rep", _prefix(min_similarity).alias("prefix"))
-        .withColumn("shared", F.filter("prefix", lambda t: t["df"] > 1))
-        .select(
-            "site_id",
-            "rep",
-            F.transform("shared", lambda t: t["term"]).alias("prefix_terms"),
-            F.explode("shared").alias("posted"),
-        )
+    # a posting is light: the weights are looked up for candidate pairs only
+    needed = min_similarity - 1e-9
+    listed = F.transform(
+        F.arrays_zip("terms", "rest"),
+        lambda e: F.struct(e["terms"]["df"].alias("df"), e["terms"]["term"].alias("term"), e["rest"].alias("rest")),
     )
     sublists = F.ceil(F.col("posted.df") / postings_per_sublist).cast("int")
     posted = (
-        prefixed.withColumn("sublists", sublists)
+        groups.select("site_id", "rep", "terms", _rests(F.col("terms.w")).alias("rest"))
+        .withColumn("prefix", F.filter(listed, lambda t: (t["rest"] >= needed) & (t["df"] > 1)))
+        .select("site_id", "rep", F.explode("prefix").alias("posted"))
+        .withColumn("sublists", sublists)
         .withColumn("grp", F.pmod(F.xxhash64("rep"), F.col("sublists")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sublists") - 1)))
         .select(
@@ -646,21 +640,22 @@ def similar_term_pairs(
             F.least("grp", "other").alias("ci"),
             F.greatest("grp", "other").alias("cj"),
             "rep",
-            "prefix_terms",
             "grp",
+            F.col("posted.rest").alias("rest"),
         )
     )
     cell = ["site_id", "term", "ci", "cj"]
-    carried = ("rep", "prefix_terms", "grp")
+    carried = ("rep", "grp", "rest")
     left = posted.withColumnsRenamed({c: c + "1" for c in carried})
     right = posted.withColumnsRenamed({c: c + "2" for c in carried})
-    first_common = F.array_intersect("prefix_terms1", "prefix_terms2")[0]
     candidates = (
         left.join(right, cell)
         .filter(F.col("rep1") < F.col("rep2"))
         .filter((F.col("ci") == F.col("cj")) | (F.col("grp1") != F.col("grp2")))
-        .filter(first_common == F.col("term"))
+        # at the first common term the rests bound the similarity; later ones may fail
+        .filter(F.col("rest1") * F.col("rest2") > needed)
         .select("site_id", "rep1", "rep2")
+        .distinct()
     )
     entries = F.transform("terms", lambda t: F.struct(t["term"], t["w"]))
     rows = groups.select("site_id", "rep", "urls", F.map_from_entries(entries).alias("weights"))
