@@ -110,3 +110,22 @@ def test_pca_small_and_shared_paths(spark):
     for size in (7, 1000):
         got = M.pca(frame, 5, 3, group_rows=size).orderBy("url").collect()
         assert np.allclose([r.coords for r in got], centred @ axes.T, atol=1e-8)
+
+
+def test_layout_keeps_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centers = np.eye(3, 6) * 5
+    rows = [
+        ("s", f"c{c}-{i:02d}", [float(v) for v in centers[c] + rng.normal(scale=0.3, size=6)])
+        for c in range(3)
+        for i in range(20)
+    ] + [("lone", "x", [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "site_id string, url string, embedding array<double>")
+    got = M.neighbour_map(frame, 6, 2, "umap", neighbours=5, rounds=6, lone_pages=True).collect()
+    assert [r.coords for r in got if r.site_id == "lone"] == [[0.0, 0.0]]
+    laid = [r for r in got if r.site_id == "s"]
+    place = np.array([r.coords for r in laid])
+    gap = ((place[:, None] - place[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(gap, np.inf)
+    same = [laid[i].url[:2] == laid[j].url[:2] for i, j in enumerate(gap.argmin(axis=1))]
+    assert len(laid) == 60 and np.mean(same) > 0.9
