@@ -144,7 +144,8 @@ def _windows(shared: DataFrame, items: DataFrame) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, words): items that a document holds, at their best window.
 
-    The first of equally similar windows is given, as its first word's place and its number of words.
+    Of equally similar windows that start with a shared shingle the first is given, as its first word's
+    place and its number of words.
     Null, empty and white-space texts hold nothing, on either side; items of fewer than five words are
     compared as one shingle. Repeated rows of one doc_id count as versions of one document and
     give one row an item; rows without a doc_id are not searched, as a finding could not name them
@@ -237,8 +238,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 #: The pairs by every window of every document, without fingerprints, in DuckDB's SQL.
 ORACLE = """
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '') AS w FROM documents),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM benchmark),
 ish AS (SELECT item_id, len(w) AS n, array_to_string(w[i:i+4], ' ') AS s FROM iw, range(1, 1000) AS t(i) WHERE i <= len(w) - 4),
 ic AS (SELECT item_id, n, n - 4 AS want, s, count(*) AS there FROM ish GROUP BY ALL),
 dsh AS (SELECT doc_id, len(w) AS words, i AS pos, array_to_string(w[i:i+4], ' ') AS s FROM dw, range(1, 100000) AS t(i) WHERE i <= len(w) - 4),

@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs:
     drawn = F.aggregate(
         F.when(parts > 0, F.sequence(F.lit(1), parts)).otherwise(F.array().cast("array<int>")),
         F.lit(0),
-        lambda total, part: total + inverse_poisson(F.col("_rate") / parts, unit_hash(seed, part, docs["doc_id"])),
+        lambda total, part: total + inverse_poisson(F.col("_rate") / F.greatest(parts, F.lit(1)), unit_hash(seed, part, docs["doc_id"])),
     )
     counted = rated.withColumn("_copies", drawn).where("_copies > 0")
     blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0), ((F.col("_copies") - 1) / UNFOLD).cast("int"))))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import decontaminate, mixing, secrets, simhash, toxicity
+from sitegauge.llm import chat, decontaminate, langid, mixing, pii, quality, secrets, simhash, tokencount, toxicity
 from sitegauge.llm.common import crc_remainder, table
 from sitegauge.session import ship_package
 
@@ -29,6 +30,13 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@_query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    return langid.predict(docs, langid.fit(docs)).select("doc_id", held_out, "lang_pred", "score")
+
+
 @_query
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     scanned = secrets.scan(table(spark, folder, "documents"))
@@ -61,5 +69,44 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@_query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = tokencount.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@_query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = pii.scan(docs, pii.fit(docs))
+    counts = [f"n_{kind}" for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@_query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@_query
+def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows.unionByName(more))
+    read = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learnt_text(F.col("segments")).alias("learnt"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 ORACLES["op1_benchmark_decontamination"] = decontaminate.ORACLE
 ORACLES["op5_mixing_sources"] = mixing.ORACLE
+ORACLES["op10_chat_formatting"] = chat.ORACLE

@@ -8,8 +8,9 @@ both, itself discounted towards equal letters. So an expression too rare to tell
 the same probability in both models and does not move the score, while a stem that toxic
 documents keep using does, with whatever ending.
 
-A text's log-likelihood ratio is normalised by the square root of its number of words and
-calibrated by logistic regression on labelled rows that the counts leave out.
+The log ratios of a text's words, each less a margin, are summed, normalised by the square root of
+the number of words, and calibrated by logistic regression on labelled rows that the counts
+leave out.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ DISCOUNT = 2.5
 SHARED_DISCOUNT = 0.75
 BACKOFF = 50.0
 LETTERS = 40
+#: A word's log ratio counts by what it has beyond this; smaller ones are chance, and there are many.
+MARGIN = 1.0
 #: Starts of words that the model keeps, the most frequent first; bounds what is broadcast.
 MODEL_ROWS = 1 << 19
 #: Labelled rows left out of the counts: one of so many; and how many of them fit the calibration.
@@ -132,12 +135,13 @@ def _scorer(model: Model):
         for end in range(1, min(len(spelled), REACH) + 1):
             known = step.get(spelled[:end])
             if known is None:
-                return total + unseen.get(spelled[: end - 1], 0.0)
+                total += unseen.get(spelled[: end - 1], 0.0)
+                break
             total += known
-        return total
+        return max(total - MARGIN, 0.0) + min(total + MARGIN, 0.0)
 
     def ratio(text: str | None) -> float:
-        """Log-likelihood ratio over the square root of the number of words; zero without words."""
+        """Log ratios of the words over the square root of their number; zero without words."""
         found = _WORD.findall((text or "").lower())
         total = 0.0
         for word, times in Counter(found).items():
