@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.common import let
+from sitegauge.session import materialize
 
 # The patterns of the base spans, by kind in the order of their names.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE_CHARS = 6
+ASSIGN_NEEDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
@@ -67,14 +69,16 @@ def _running(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, let(chunks, within)).otherwise(F.array().cast("array<int>"))
 
 
-def _with_matches(rows: DataFrame, name: str, pattern: str, group: int = 0) -> DataFrame:
+def _with_matches(rows: DataFrame, name: str, pattern: str, group: int = 0, needs: tuple[str, ...] = ()) -> DataFrame:
     """Adds the column ``name``: array of (first, last, whole, part) of the pattern's leftmost matches in _text.
 
     Places are in code points, last is exclusive. They follow from the lengths of the matches and of
-    the gaps between them.
+    the gaps between them. A match cannot be in a text that in lower case has none of ``needs``.
     """
     text = F.col("_text")
     any_, none = text.rlike(pattern), F.array().cast("array<string>")
+    if needs:
+        any_ = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(n)) for n in needs]) & any_
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     pairs = F.zip_with(found, parts, lambda w, p: F.struct(w.alias("whole"), p.alias("part")))
@@ -103,8 +107,9 @@ def _with_base(rows: DataFrame) -> DataFrame:
     def of(kind: int, found: Column) -> Column:
         return F.transform(found, lambda m: F.struct(m["first"].alias("first"), F.lit(kind).alias("kind"), m["last"].alias("last")))
 
-    for name, pattern, group in (("_assign", ASSIGN, 2), ("_access", ACCESS, 0), ("_hex", HEX, 0)):
-        rows = _with_matches(rows, name, pattern, group)
+    rows = _with_matches(rows, "_assign", ASSIGN, 2, ASSIGN_NEEDS)
+    rows = _with_matches(rows, "_access", ACCESS, 0, ("akia",))
+    rows = _with_matches(rows, "_hex", HEX)
     assigned = F.filter("_assign", lambda m: F.char_length(m["part"]) >= ASSIGN_VALUE_CHARS)
     base = F.array_sort(F.concat(of(0, assigned), of(1, F.col("_access")), of(2, F.col("_hex"))))
     return rows.withColumn("_base", base).drop("_assign", "_access", "_hex")
@@ -286,19 +291,25 @@ def levels(found: DataFrame) -> dict[tuple[str, int], int]:
     return least
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with _text (null as empty), _base and _spans: arrays of (first, kind, last)."""
-    rows = _with_base(docs.withColumn("_text", F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    letters = letter_counts(docs)
-    only = _with_base(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")))
-    least = levels(_with_candidates(only, letters).select(F.explode("_candidates").alias("c")).select("c.*"))
+def _with_text(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_text", F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def _with_spans(rows: DataFrame, least: dict[tuple[str, int], int]) -> DataFrame:
+    """Adds _spans, from _base and those of _candidates that are discoveries."""
     needed = [F.lit(v) for (name, size), level in least.items() for v in (f"{name}:{size}", level)]
     needed = F.create_map(*needed) if needed else F.create_map().cast("map<string,int>")
     bar = lambda c: F.try_element_at(needed, F.concat_ws(":", c["encoding"], c["class"].cast("string")))
     kept = F.filter("_candidates", lambda c: F.coalesce(c["level"] >= bar(c), F.lit(False)))
     random = F.transform(kept, lambda c: F.struct(c["first"].alias("first"), F.lit(3).alias("kind"), c["last"].alias("last")))
-    rows = _with_candidates(rows, letters).withColumn("_spans", F.array_sort(F.concat(F.col("_base"), random)))
-    return rows.drop("_candidates")
+    return rows.withColumn("_spans", F.array_sort(F.concat(F.col("_base"), random))).drop("_candidates")
+
+
+def _judge(docs: DataFrame) -> tuple[DataFrame, dict[tuple[str, int], int]]:
+    """(doc_id, _base, _candidates) of every row, written once, and the levels that they set."""
+    rows = _with_candidates(_with_base(_with_text(docs.select("doc_id", "text"))), letter_counts(docs))
+    judged = materialize(rows.select("doc_id", "_base", "_candidates"))
+    return judged, levels(judged.select(F.explode("_candidates").alias("c")).select("c.*"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -309,7 +320,7 @@ def scan(docs: DataFrame) -> DataFrame:
     counts as empty; an empty table gives an empty result; repeated rows and null ids pass as
     they are; further columns of ``docs`` are ignored.
     """
-    return _judged(docs.select("doc_id", "text")).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+    return _with_spans(*_judge(docs)).select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -340,7 +351,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Where there is a column n_chars, it follows the new text of changed rows.
     """
-    holes = _judged(docs).withColumn("_holes", _merged(F.col("_spans")))
+    letters = letter_counts(docs)
+    only = _with_candidates(_with_base(_with_text(docs.select("text"))), letters)
+    least = levels(only.select(F.explode("_candidates").alias("c")).select("c.*"))
+    judged = _with_spans(_with_candidates(_with_base(_with_text(docs)), letters), least)
+    holes = judged.withColumn("_holes", _merged(F.col("_spans")))
 
     def gap(i: Column) -> Column:
         first = F.coalesce(F.get(F.col("_holes"), i - 1)["last"], F.lit(0))
