@@ -352,7 +352,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Where there is a column n_chars, it follows the new text of changed rows.
     """
     letters = letter_counts(docs)
-    only = _with_candidates(_with_base(_with_text(docs.select("text"))), letters)
+    only = materialize(_with_candidates(_with_base(_with_text(docs.select("text"))), letters).select("_candidates"))
     least = levels(only.select(F.explode("_candidates").alias("c")).select("c.*"))
     judged = _with_spans(_with_candidates(_with_base(_with_text(docs)), letters), least)
     holes = judged.withColumn("_holes", _merged(F.col("_spans")))
