@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Sequence
+from functools import cache
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +30,19 @@ SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 WORD = r"[\p{L}\p{N}_]"
 
 
+@cache
+def english_stop_words() -> tuple[str, ...]:
+    """The English stop words that Spark ML ships, read from its library file."""
+    home = Path(os.environ.get("SPARK_HOME") or Path(pyspark.__file__).parent)
+    for library in sorted((home / "jars").glob("spark-mllib_*.jar")):
+        with zipfile.ZipFile(library) as files:
+            listed = files.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
+        return tuple(w.strip() for w in listed.splitlines() if w.strip())
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+
+
 def _drop_words(words: Column, stop_words: Sequence[str]) -> Column:
     if not stop_words:
         return words

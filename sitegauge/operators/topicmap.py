@@ -51,19 +51,6 @@ def _projected(table: pa.Table, coords: np.ndarray) -> pa.Table:
 _COORDS = "site_id string, url string, coords array<double>"
 
 
-def _whole_site(k: int):
-    def kernel(table: pa.Table) -> pa.Table:
-        x = B.matrix(table, "embedding")
-        x = x - x.mean(axis=0)
-        # thin SVD: never larger than pages by dimensions
-        axes = _oriented(np.linalg.svd(x, full_matrices=False)[2][:k])
-        coords = x @ axes.T
-        missing = min(k, x.shape[1]) - coords.shape[1]
-        return _projected(table, np.pad(coords, ((0, 0), (0, max(0, missing)))))
-
-    return kernel
-
-
 def _gram_rows(table: pa.Table) -> pa.Table:
     """Partial scatter matrix around the site's mean, one output row per dimension."""
     x = B.matrix(table, "embedding") - np.array(table.column("mean")[0].as_py())
@@ -104,22 +91,15 @@ def pca(
 ) -> DataFrame:
     """Centred principal components of every site: ``site_id, url, coords``.
 
-    A site that fits one group is solved there. A bigger one sums partial scatter
-    matrices of bounded shares of its pages, and only the d-by-d sum meets in one task.
+    Partial scatter matrices of bounded shares of a site's pages are summed, and only the
+    d-by-d sum meets in one task: the same for a site of any size.
     """
     k = min(k, dimensions)
     size = group_rows or B.rows_per_group(dimensions)
     groups = B.site_groups(vectors, size)
-    rows = attach_by_site(vectors.select("site_id", "url", "embedding"), groups).withColumn(
+    big = attach_by_site(vectors.select("site_id", "url", "embedding"), groups).withColumn(
         "share", F.pmod(F.xxhash64("url"), "groups").cast("int")
     )
-    small = (
-        rows.filter(F.col("groups") == 1)
-        .drop("groups", "share")
-        .groupBy("site_id")
-        .applyInArrow(_whole_site(k), _COORDS)
-    )
-    big = rows.filter(F.col("groups") > 1)
     means = mean_vectors(big).select("site_id", "mean")
     partial = (
         attach_by_site(big, means)
@@ -141,12 +121,11 @@ def pca(
         .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         .drop("groups")
     )
-    projected = (
+    return (
         big.groupBy("site_id", "share")
         .cogroup(per_share.groupBy("site_id", "share"))
         .applyInArrow(_project_share, _COORDS)
     )
-    return small.unionByName(projected)
 
 
 # --- M2: neighbour-preserving layout ------------------------------------------------------
@@ -161,6 +140,8 @@ class LayoutStyle:
     rounds: int = 60
     repulsion: float = 5.0
     bucket_rows: int = 128
+    # a layout is done when a round moves its pages by less than this on average
+    still: float = 0.02
 
 
 # The curve for a minimum distance of 0.1, and Student's t.
@@ -276,7 +257,8 @@ def neighbour_map(
     Starts from principal components. Each round pulls along the edges of the neighbour
     graph and pushes away from a fresh random bucket of the site's pages; both are joins
     and bounded groups, so a site may be of any size. Positions are checkpointed every
-    round, which keeps the plan short and survives lost executors. Sites of one page give
+    round, which keeps the plan short and survives lost executors. The rounds end early once pages
+    hardly move. Sites of one page give
     no row, or the origin with *lone_pages*.
     """
     if method not in STYLES:
@@ -364,8 +346,11 @@ def neighbour_map(
                 (F.col("rate") - 1.0 / rounds).alias("rate"),
                 (F.col("seed") + 1).alias("seed"),
                 moved.alias("pos"),
+                F.aggregate(F.zip_with("pos", moved, lambda p, q: F.abs(q - p)), F.lit(0.0), lambda s, d: s + d).alias("step"),
             )
         )
+        if (positions.agg(F.avg("step")).first()[0] or 0.0) < style.still:
+            break
     laid_out = positions.select("site_id", "url", F.col("pos").alias("coords"))
     if not lone_pages:
         return laid_out

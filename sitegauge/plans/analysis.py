@@ -20,7 +20,7 @@ class AnalysisOptions:
     includes: tuple[str, ...] = ()
     excludes: tuple[str, ...] = ()
     match_any: bool = True
-    max_urls: int | None = 100
+    max_urls: int | None = None
     use_content: bool = True
     use_paths: bool = True
     url_weight: float = 0.3
@@ -28,8 +28,8 @@ class AnalysisOptions:
     k1: float = 5.0
     k2: float = 5.0
     hashed_dimensions: int = 256
-    rounds: int = 30
-    stop_words: tuple[str, ...] = field(default=())
+    rounds: int | None = None
+    stop_words: tuple[str, ...] = field(default_factory=D.library_stop_words)
 
 
 def choose_urls(listed: DataFrame, options: AnalysisOptions) -> DataFrame:

@@ -357,7 +357,7 @@ def c6_facet_values(spark, folder):
 
 @query
 def d1_tokens(spark, folder):
-    words = T.tokens("text", 1, T.CONTENT_STOP_WORDS)
+    words = T.tokens("text", 1, T.english_stop_words())
     return I.doc_site(spark, folder).select("url", F.array_join(words, " ").alias("tokens"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sitegauge.functions.text import CONTENT_STOP_WORDS
+from sitegauge.functions.text import CONTENT_STOP_WORDS, english_stop_words
 from sitegauge.plans.inputs import URL_SHAPES
 
 ORACLES: dict[str, str] = {}
 
 _SP = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_ENGLISH = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words())
 _STOPS = ", ".join(f"'{w}'" for w in CONTENT_STOP_WORDS)
 _SHAPES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(URL_SHAPES))
 
@@ -267,7 +268,7 @@ def _grams(words: str, high: int) -> str:
 
 def _tfidf(source: str, text: str, high: int, least: int, sublinear: bool, tag: str = "") -> str:
     tf = "1 + ln(tf)" if sublinear else "tf"
-    return rf"""tok{tag} AS (SELECT site_id, url, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{{least},}}') AS w FROM {source}),
+    return rf"""tok{tag} AS (SELECT site_id, url, list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{{least},}}'), lambda t: t NOT IN ({_ENGLISH})) AS w FROM {source}),
 gram{tag} AS (SELECT site_id, url, unnest({_grams('w', high)}) AS term FROM tok{tag}),
 tf{tag} AS (SELECT site_id, url, term, count(*) AS tf FROM gram{tag} GROUP BY ALL),
 n{tag} AS (SELECT site_id, count(*) AS n FROM {source} GROUP BY site_id),
@@ -281,7 +282,7 @@ unit{tag} AS (SELECT site_id, url, term, w / l AS w FROM w{tag} JOIN len{tag} US
 _DOC_TFIDF = f"{_docs('lang')}, {_tfidf('docs', 'text', 2, 1, True)}"
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 ORACLES["d1_tokens"] = f"""WITH {_docs('lang')} SELECT url,
-  array_to_string(list_filter({_WORDS}, lambda w: w NOT IN ({_STOPS})), ' ') AS tokens FROM docs"""
+  array_to_string(list_filter({_WORDS}, lambda w: w NOT IN ({_ENGLISH})), ' ') AS tokens FROM docs"""
 ORACLES["d2_ngrams"] = rf"""WITH {_docs('lang')}, t AS (SELECT url, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM docs),
 g AS (SELECT url, {_grams('w', 3)} AS g FROM t)
 SELECT url, CAST(len(g) AS INTEGER) AS grams, md5(array_to_string(g, '|')) AS digest FROM g"""
@@ -429,18 +430,18 @@ SELECT site_id, CAST(rank AS INTEGER) AS rank, url1, url2, round(d, 6) AS distan
 ORACLES["r1_site_brief"] = f"""WITH {_POINTS}, {_PLANAR}, {_PLANE_PAIRS}, {_scores(5.0, 5.0)}, {_FIRST_LAST}, lists AS (
   SELECT site_id, list(url ORDER BY up) FILTER (up <= 5) AS f, list(url ORDER BY up) FILTER (down <= 5) AS l FROM ranked GROUP BY site_id), kinds AS (
   SELECT site_id, {_type('url')} AS k, count(*) AS c FROM points GROUP BY ALL), kind_lines AS (
-  SELECT site_id, string_agg('- ' || k || ': ' || c || ' pages (' || printf('%.1f', c / t * 100) || '%)', chr(10) ORDER BY c DESC, k) AS page_types
+  SELECT site_id, string_agg(k || ' ' || c || ' (' || printf('%.1f', c / t * 100) || '%)', chr(10) ORDER BY c DESC, k) AS page_types
   FROM (SELECT site_id, k, c, sum(c) OVER (PARTITION BY site_id) AS t FROM kinds) GROUP BY site_id), cosine AS (
   SELECT a.site_id, a.url AS url1, b.url AS url2, list_cosine_similarity(a.embedding, b.embedding) AS s
   FROM vectors a JOIN vectors b ON a.site_id = b.site_id AND a.url < b.url), near AS (
   SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY round(s, 9) DESC, url1, url2) AS rank FROM cosine WHERE s > 0.45), pair_lines AS (
-  SELECT site_id, least(count(*), 50) || ' potential content cannibalization pair(s) identified. Top examples:' || chr(10) ||
-    string_agg('  - ''' || url1 || ''' and ''' || url2 || ''' (Similarity: ' || printf('%.2f', s) || ')', chr(10) ORDER BY rank) FILTER (rank <= 3) AS similar_pairs
+  SELECT site_id, least(count(*), 50) || ' pairs, the closest being' || chr(10) ||
+    string_agg(printf('%.2f', s) || ' ' || url1 || ' ~ ' || url2, chr(10) ORDER BY rank) FILTER (rank <= 3) AS similar_pairs
   FROM near GROUP BY site_id), parts AS (
   SELECT s.site_id, s.total, printf('%.2f', focus) AS focus_score, printf('%.2f', radius) AS radius_score,
     array_to_string(list_transform(f, lambda u, i: i || '. ' || u), chr(10)) AS focused_pages,
     array_to_string(list_transform(l, lambda u, i: i || '. ' || u), chr(10)) AS divergent_pages, page_types,
-    coalesce(similar_pairs, 'No significant content cannibalization detected.') AS similar_pairs
+    coalesce(similar_pairs, 'none found') AS similar_pairs
   FROM site_scores s JOIN lists USING (site_id) JOIN kind_lines USING (site_id) LEFT JOIN pair_lines USING (site_id))
 SELECT *, 'Pages: ' || total || chr(10) || 'Focus score: ' || focus_score || ' / 100' || chr(10) || 'Radius score: ' || radius_score || ' / 100' || chr(10)
   || 'Closest to the core theme:' || chr(10) || focused_pages || chr(10) || 'Furthest from the core theme:' || chr(10) || divergent_pages || chr(10)

@@ -10,7 +10,7 @@ from sitegauge.operators.aggregates import value_counts
 from sitegauge.operators.ranks import brief_lists
 
 PAIRS_SHOWN = 3
-NO_PAIRS = "No significant content cannibalization detected."
+NO_PAIRS = "none found"
 
 
 def _two_decimals(column: str):
@@ -18,9 +18,9 @@ def _two_decimals(column: str):
 
 
 def page_type_lines(scores: DataFrame) -> DataFrame:
-    """``- Blog: 3 pages (12.0%)`` per page type, biggest first."""
+    """``Blog 3 (12.0%)`` per page type, biggest first."""
     counts = value_counts(scores, "page_type")
-    line = F.format_string("- %s: %d pages (%.1f%%)", "page_type", "pages", "share")
+    line = F.format_string("%s %d (%.1f%%)", "page_type", "pages", "share")
     entry = F.struct((-F.col("pages")).alias("order"), "page_type", line.alias("line"))
     lines = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"])
     return counts.groupBy("site_id").agg(F.array_join(lines, "\n").alias("page_types"))
@@ -28,13 +28,13 @@ def page_type_lines(scores: DataFrame) -> DataFrame:
 
 def pair_lines(pairs: DataFrame) -> DataFrame:
     """Number of similar pairs and the first of them; *pairs* carries ``rank``."""
-    shown = F.format_string("  - '%s' and '%s' (Similarity: %.2f)", "url1", "url2", "similarity")
+    shown = F.format_string("%.2f %s ~ %s", "similarity", "url1", "url2")
     entry = F.when(F.col("rank") <= PAIRS_SHOWN, F.struct("rank", shown.alias("line")))
     lines = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"])
     return pairs.groupBy("site_id").agg(
         F.concat(
             F.count(F.lit(1)).cast("string"),
-            F.lit(" potential content cannibalization pair(s) identified. Top examples:\n"),
+            F.lit(" pairs, the closest being\n"),
             F.array_join(lines, "\n"),
         ).alias("similar_pairs")
     )

@@ -5,6 +5,7 @@ Fetching is outside: *fetches* has ``domain, protocol, url, status, content_type
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pandas as pd
@@ -29,40 +30,74 @@ _LOC = r"(?is)<loc(?:\s[^>]*)?>(.*?)</loc\s*>"
 _URL = r"(?is)<url(?:\s[^>]*)?>.*?</url\s*>"
 _SITEMAP = r"(?is)<sitemap(?:\s[^>]*)?>.*?</sitemap\s*>"
 _INDEX = r"(?is)<sitemapindex[\s>]"
+_REFERENCE = r"&#?[A-Za-z0-9]{1,9};"
+_ENCODING = r"^[^<]*<\?xml[^>]*?encoding\s*=\s*[\"']([A-Za-z0-9._-]+)"
+_DECLARED = re.compile(_ENCODING)
+HEAD_BYTES = 200
 
 
 @F.pandas_udf(StringType())
-def _gunzip(bodies: pd.Series) -> pd.Series:
-    def text(body: bytes | None) -> str | None:
+def _decoded(bodies: pd.Series, packed: pd.Series, encodings: pd.Series) -> pd.Series:
+    """Unpacked and decoded bodies; null for a packed one that does not unpack."""
+
+    def text(body: bytes | None, zipped: bool, encoding: str | None) -> str | None:
         if body is None:
             return None
         try:
-            return zlib.decompress(body, wbits=31).decode("utf-8", "replace")
+            plain = zlib.decompress(body, wbits=31) if zipped else body
         except zlib.error:
             return None
+        if zipped:
+            declared = _DECLARED.search(plain[:HEAD_BYTES].decode("latin-1"))
+            encoding = declared[1] if declared else None
+        if plain[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            encoding = "utf-16"
+        try:
+            return plain.decode(encoding or "utf-8", "replace").removeprefix("\ufeff")
+        except LookupError:
+            return plain.decode("utf-8", "replace")
 
-    return bodies.map(text)
+    return pd.Series([text(*row) for row in zip(bodies, packed, encodings)], dtype=object)
 
 
 def body_text(url: str = "url", body: str = "body") -> Column:
-    """Body as text; a ``.gz`` body that does not unpack gives null."""
-    packed = F.col(url).endswith(".gz")
-    return F.when(packed, _gunzip(F.when(packed, F.col(body).cast("binary")))).otherwise(
-        F.col(body).cast("string")
-    )
+    """Body as text in the encoding it declares; a ``.gz`` body that does not unpack gives null.
+
+    Plain UTF-8 bodies stay in the JVM.
+    """
+    packed, raw = F.col(url).endswith(".gz"), F.col(body).cast("binary")
+    head = F.decode(F.substring(raw, 1, HEAD_BYTES), "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(head, _ENCODING, 1))
+    marked = head.startswith("\xff\xfe") | head.startswith("\xfe\xff") | head.startswith("\xef\xbb\xbf")
+    special = packed | marked | ~declared.isin("", "utf-8", "utf8", "us-ascii")
+    decoded = _decoded(F.when(special, raw), F.coalesce(packed, F.lit(False)), F.nullif(declared, F.lit("")))
+    return F.when(special, decoded).otherwise(F.col(body).cast("string"))
 
 
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def _character(reference: Column) -> Column:
+    """What a character reference or one of the five named entities stands for; others stay."""
+    body = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    digits = F.when(reference.rlike("^&#x[0-9A-Fa-f]{1,6};$"), F.substring(body, F.lit(3), F.length(body))).when(
+        reference.rlike("^&#[0-9]{1,7};$"), F.hex(F.substring(body, F.lit(2), F.length(body)).cast("bigint"))
+    )
+    in_range = F.conv(digits, 16, 10).cast("bigint").between(1, 0xD7FF) | F.conv(digits, 16, 10).cast("bigint").between(0xE000, 0x10FFFF)
+    coded = F.when(in_range, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+    named = None
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        named = (F if named is None else named).when(body == entity, F.lit(char))
+    return F.coalesce(named, coded, reference)
+
+
 def _xml_value(text: Column) -> Column:
-    """Element text without CDATA marks and with the five named entities resolved."""
+    """Element text without CDATA marks and with character references resolved, each once."""
     value = F.regexp_replace(text, r"<!\[CDATA\[|\]\]>", "")
-    # the ampersand comes last, or "&amp;lt;" would be resolved twice
-    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        value = F.replace(value, F.lit(f"&{entity};"), F.lit(char))
-    return _strip(value)
+    between, references = F.split(value, _REFERENCE, -1), F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0))
+    resolved = F.zip_with(between, references, lambda b, r: F.concat(b, F.coalesce(_character(r), F.lit(""))))
+    return _strip(F.array_join(resolved, ""))
 
 
 def _uncommented(xml: Column) -> Column:
@@ -142,10 +177,9 @@ def scan_sitemaps(sitemaps: DataFrame) -> DataFrame:
 
 
 def scan_sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """Page URLs of sitemap files (``.xml`` or ``.xml.gz``) read by the XML source."""
-    entries = (
-        spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
-    )
-    return entries.select(
-        F.input_file_name().alias("sitemap"), _strip(F.col("loc")).alias("url")
-    ).filter(F.col("url") != "")
+    """Page URLs of sitemap files (``.xml`` or ``.xml.gz``), by the rules of :func:`scan_sitemaps`.
+
+    A file that does not unpack gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return scan_sitemaps(files.select(F.col("path").alias("url"), F.col("content").alias("body")))

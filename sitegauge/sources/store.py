@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -17,6 +19,7 @@ STORE_SCHEMA = (
     "point_id string, url string, content_md string, processed_at timestamp, "
     "embedding array<float>, project string, bucket int"
 )
+_MANIFEST_SCHEMA = "bucket int, version string, buckets int, seq long"
 BUCKETS = 64
 
 # Parameters of an analysis and their defaults.
@@ -60,13 +63,51 @@ def read_url_list(spark: SparkSession, path: str, project: str) -> tuple[DataFra
 # --- vector store -------------------------------------------------------------------------
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+@dataclass(frozen=True)
+class Layout:
+    """What a store's newest manifest says: its bucket count, and each bucket's current version."""
+
+    seq: int
+    buckets: int
+    versions: dict[int, str]
+
+
+def store_layout(spark: SparkSession, path: str) -> Layout | None:
+    """The newest manifest, one row per bucket; None where there is no store."""
     try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
+        manifests = spark.read.schema(_MANIFEST_SCHEMA).parquet(f"{path}/manifest")
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return None
         raise
+    newest = manifests.agg(F.max("seq")).first()[0]
+    if newest is None:
+        return None
+    rows = manifests.filter(F.col("seq") == newest).collect()
+    return Layout(newest, rows[0]["buckets"], {r["bucket"]: r["version"] for r in rows if r["version"]})
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("project", "point_id"), F.lit(buckets)).cast("int")
+
+
+def _read_buckets(spark: SparkSession, path: str, layout: Layout | None, wanted: set[int] | None = None) -> DataFrame:
+    """Current pages of the wanted buckets, from those buckets' folders only."""
+    versions = layout.versions if layout else {}
+    folders = [
+        f"{path}/pages/version={version}/bucket={bucket}"
+        for bucket, version in sorted(versions.items())
+        if wanted is None or bucket in wanted
+    ]
+    if not folders:
+        return spark.createDataFrame([], STORE_SCHEMA)
+    read = spark.read.schema(f"{STORE_SCHEMA}, version string").option("basePath", f"{path}/pages")
+    return read.parquet(*folders).drop("version")
+
+
+def _touched(rows: DataFrame, buckets: int) -> set[int]:
+    """Buckets that the rows belong to: at most as many numbers as the store has buckets."""
+    return {r["bucket"] for r in rows.select(_bucket(buckets).alias("bucket")).distinct().collect()}
 
 
 def upsert_vectors(
@@ -74,11 +115,16 @@ def upsert_vectors(
 ) -> None:
     """Write or replace pages by id.
 
-    The store is laid out by project and a hash bucket of the id, so a batch rewrites only
-    the buckets it touches. Writing the same batch again leaves the same rows, which makes
-    a repeated streaming batch harmless. *batch* has ``project, url, content_md,
-    embedding`` and may bring its own ``processed_at``.
+    A page belongs to a hash bucket of its project and id. A batch rewrites the buckets it
+    touches, and only those are read: their new versions are written beside the old ones, and a new
+    manifest, written last, switches to them, so that a lost job leaves the store as it was and
+    of two writers at once one fails. *buckets* counts when a store is made; later the store's own
+    count holds. Writing a batch again leaves the same rows. Of rows of a batch with one id the
+    newest stays, of equally new ones the one greatest by text, then vector. *batch* has
+    ``project, url, content_md, embedding`` and may bring its own ``processed_at``.
     """
+    layout = store_layout(spark, path)
+    count = layout.buckets if layout else buckets
     when = F.col("processed_at") if "processed_at" in batch.columns else F.current_timestamp()
     new = batch.select(
         point_id("url").alias("point_id"),
@@ -87,35 +133,47 @@ def upsert_vectors(
         when.cast("timestamp").alias("processed_at"),
         F.col("embedding").cast("array<float>").alias("embedding"),
         "project",
-    ).withColumn("bucket", F.pmod(F.xxhash64("point_id"), F.lit(buckets)).cast("int"))
-    rows = new.withColumn("fresh", F.lit(1))
-    old = _stored(spark, path)
-    if old is not None:
-        touched = new.select("project", "bucket").distinct()
-        kept = old.join(touched, ["project", "bucket"], "left_semi")
-        rows = rows.unionByName(kept.withColumn("fresh", F.lit(0)))
-    latest = Window.partitionBy("project", "bucket", "point_id").orderBy(
-        F.desc("fresh"), F.desc("processed_at"), F.desc("content_md")
     )
+    touched = _touched(new, count)
+    if not touched:
+        return
+    rows = new.withColumn("bucket", _bucket(count)).withColumn("fresh", F.lit(1))
+    old = _read_buckets(spark, path, layout, touched)
+    rows = rows.unionByName(old.withColumn("fresh", F.lit(0)))
+    latest = Window.partitionBy("bucket", "project", "point_id").orderBy(
+        F.desc("fresh"), F.desc("processed_at"), F.desc("content_md"), F.desc("embedding")
+    )
+    version = uuid.uuid4().hex
     (
         rows.withColumn("rank", F.row_number().over(latest))
         .filter(F.col("rank") == 1)
         .drop("rank", "fresh")
-        .hint("rebalance", "project", "bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project", "bucket")
-        .parquet(path)
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "project", "point_id")
+        .write.partitionBy("bucket")
+        .parquet(f"{path}/pages/version={version}")
     )
+    versions = (layout.versions if layout else {}) | dict.fromkeys(touched, version)
+    listed = [(bucket, versions.get(bucket), count) for bucket in range(count)]
+    manifest = spark.createDataFrame(listed, "bucket int, version string, buckets int").coalesce(1)
+    manifest.write.parquet(f"{path}/manifest/seq={layout.seq + 1 if layout else 0}")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    stored = _stored(spark, path)
-    return spark.createDataFrame([], STORE_SCHEMA) if stored is None else stored
+    return _read_buckets(spark, path, store_layout(spark, path))
+
+
+def stored_beside(spark: SparkSession, path: str, urls: DataFrame) -> DataFrame:
+    """Stored pages of the buckets that the URLs (``project, url``) belong to; no other folder is read."""
+    layout = store_layout(spark, path)
+    if layout is None:
+        return read_store(spark, path)
+    keyed = urls.select("project", point_id("url").alias("point_id"))
+    return _read_buckets(spark, path, layout, _touched(keyed, layout.buckets))
 
 
 def scan_project(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
-    """Pages with a vector: of one project, reading only its folders, or of all."""
+    """Pages with a vector: of one project, whose rows lie together in every file, or of all."""
     pages = read_store(spark, path).filter(F.col("embedding").isNotNull())
     return pages if project is None else pages.filter(F.col("project") == project)
 

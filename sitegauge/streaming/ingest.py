@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sitegauge.sources.store import BUCKETS, read_store, skip_processed, upsert_vectors
+from sitegauge.sources.store import BUCKETS, skip_processed, stored_beside, upsert_vectors
 
 
 def ingest_stream(
     pages: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS, **trigger
 ) -> StreamingQuery:
-    """Store every page once per project; pages already stored are skipped.
+    """Store every usable page once per project; pages already stored are skipped.
 
+    A row without text or without a vector is not stored, so that a later one can be. Of rows
+    of one page in a batch the one greatest by text, then vector, is taken. A batch reads only the buckets
+    of the store that it touches.
     The store itself is the memory of what was seen, so the stream keeps no state. A
     repeated micro-batch finds its own rows stored and changes nothing.
     """
 
     def add(batch: DataFrame, _batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = skip_processed(batch.dropDuplicates(["project", "url"]), read_store(session, store))
-        upsert_vectors(session, store, fresh, buckets)
+        order = Window.partitionBy("project", "url").orderBy(F.desc("content_md"), F.desc("embedding"))
+        usable = usable_pages(batch).withColumn("rank", F.row_number().over(order))
+        single = usable.filter(F.col("rank") == 1).drop("rank")
+        upsert_vectors(session, store, skip_processed(single, stored_beside(session, store, single)), buckets)
 
     return (
         pages.writeStream.foreachBatch(add)

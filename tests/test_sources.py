@@ -3,11 +3,13 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitegauge.operators import topicmap as M
 from sitegauge.sources import sitemaps as X
 from sitegauge.sources import store as W
 from sitegauge.streaming import status as TS
+from sitegauge.streaming.ingest import ingest_stream
 
 FETCH = "domain string, protocol string, url string, status int, content_type string, body binary"
 
@@ -70,6 +72,69 @@ def test_store_upsert_replaces_and_skips(spark, tmp_path):
     assert [(r.project, r.url) for r in new.collect()] == [("q", "u2")]
 
 
+def test_store_keeps_its_bucket_count(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [("p", f"u{i}", "t", [float(i)]) for i in range(8)]
+    batch = spark.createDataFrame(rows, "project string, url string, content_md string, embedding array<float>")
+    W.upsert_vectors(spark, path, batch, buckets=2)
+    W.upsert_vectors(spark, path, batch.withColumn("content_md", F.lit("again")), buckets=4)
+    stored = W.read_store(spark, path).collect()
+    assert len(stored) == 8 and {r.content_md for r in stored} == {"again"}
+    assert W.store_layout(spark, path).buckets == 2
+
+
+def test_upsert_reads_and_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    schema = "project string, url string, content_md string, embedding array<float>"
+    batch = spark.createDataFrame([("p", f"u{i}", "t", [1.0]) for i in range(50)], schema)
+    W.upsert_vectors(spark, path, batch, buckets=8)
+    before = W.store_layout(spark, path)
+    one = batch.filter("url = 'u7'")
+    read = W.stored_beside(spark, path, one)
+    assert 0 < read.count() < 50 and len({f.rsplit("/", 2)[1] for f in read.inputFiles()}) == 1
+    W.upsert_vectors(spark, path, one.withColumn("content_md", F.lit("new")))
+    after = W.store_layout(spark, path)
+    changed = [b for b in after.versions if after.versions[b] != before.versions.get(b)]
+    assert len(changed) == 1 and W.read_store(spark, path).count() == 50
+    # equal ids in a batch: the same row stays whatever the order of rows
+    twice = spark.createDataFrame([("p", "x", "a", [1.0]), ("p", "x", "b", [0.0])], schema)
+    for rows in (twice, twice.orderBy(F.desc("content_md"))):
+        W.upsert_vectors(spark, path, rows)
+        assert [r.content_md for r in W.read_store(spark, path).filter("url = 'x'").collect()] == ["b"]
+
+
+def test_ingest_leaves_unusable_pages_for_later(spark, tmp_path):
+    schema = "project string, url string, content_md string, embedding array<float>"
+    rows = [("p", "u1", None, None), ("p", "u2", "t", [1.0]), ("p", "u3", "t", []), ("p", "u4", "", [1.0])]
+    arrivals, store = str(tmp_path / "in"), str(tmp_path / "store")
+    for batch in (rows, [("p", "u1", "now", [2.0]), ("p", "u1", "nov", [3.0])]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(arrivals)
+        ingest_stream(stream, store, str(tmp_path / "check"), buckets=2).awaitTermination()
+    stored = {r.url: r.content_md for r in W.read_store(spark, store).collect()}
+    assert stored == {"u1": "now", "u2": "t"}
+
+
+def test_sitemap_files(spark, tmp_path):
+    (tmp_path / "good.xml").write_bytes(b"<urlset><url><loc>https://e.com/?x=1&#38;y=2&#x26;z&amp;#38;</loc></url></urlset>")
+    (tmp_path / "bare.xml.gz").write_bytes(gzip.compress(b"<list><loc>u1</loc></list>"))
+    (tmp_path / "bad.xml.gz").write_bytes(b"<urlset><url><loc>never</loc></url></urlset>")
+    latin = "<?xml version='1.0' encoding='ISO-8859-1'?><urlset><url><loc>https://e.com/\u00e9</loc></url></urlset>"
+    (tmp_path / "latin.xml").write_bytes(latin.encode("latin-1"))
+    (tmp_path / "latin.xml.gz").write_bytes(gzip.compress(latin.encode("latin-1")))
+    (tmp_path / "wide.xml").write_bytes("<urlset><url><loc>\U0001f600</loc></url></urlset>".encode("utf-16"))
+    found = {(r.sitemap.rsplit("/", 1)[1], r.url) for r in X.scan_sitemap_files(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("good.xml", "https://e.com/?x=1&y=2&z&#38;"),
+        ("bare.xml.gz", "u1"),
+        ("latin.xml", "https://e.com/\u00e9"),
+        ("latin.xml.gz", "https://e.com/\u00e9"),
+        ("wide.xml", "\U0001f600"),
+    }
+    mixed = b"<urlset><url><loc>&#128512;&#xE9;&#0;&#xD800;&lt;&unknown;</loc></url></urlset>"
+    assert scan(spark, ("s.xml", mixed)) == [("s.xml", "\U0001f600\u00e9&#0;&#xD800;<&unknown;")]
+
+
 def test_saved_parameters(spark, tmp_path):
     W.save_analysis(spark, str(tmp_path), "a", {"exclude_filters": ["1", "2", "3", "4"], "api_key": "k"}, {})
     params, tables = W.load_analysis(spark, str(tmp_path), "a", {"missing": "x int"})
@@ -110,6 +175,8 @@ def test_pca_small_and_shared_paths(spark):
     for size in (7, 1000):
         got = M.pca(frame, 5, 3, group_rows=size).orderBy("url").collect()
         assert np.allclose([r.coords for r in got], centred @ axes.T, atol=1e-8)
+    few = M.pca(frame.filter("url < 'u02'"), 5, 3).orderBy("url").collect()
+    assert [len(r.coords) for r in few] == [3, 3] and np.allclose([r.coords[1:] for r in few], 0, atol=1e-6)
 
 
 def test_layout_keeps_neighbours(spark):
