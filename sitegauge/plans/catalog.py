@@ -637,26 +637,33 @@ def m1_pca(spark, folder):
     return M.pca(usable(spark, folder), DIMS, 10).select("site_id", "url", F.posexplode("coords").alias("axis", "value")).select("site_id", "url", "axis", r6("value"))
 
 
+@query
+def m1_pca_energy(spark, folder):
+    """All components together keep a page's squared distance from its site's mean."""
+    energy = F.aggregate("coords", F.lit(0.0), lambda s, c: s + c * c)
+    return M.pca(usable(spark, folder), DIMS, DIMS).select("site_id", "url", F.round(energy, 6).alias("energy"))
+
+
 @query
 def m2_neighbour_map_umap(spark, folder):
-    return M.neighbour_map(usable(spark, folder), DIMS, 2, "umap", rounds=9)
+    return M.neighbour_map(usable(spark, folder), DIMS, 2, "umap")
 
 
 @query
 def m2_neighbour_map_tsne(spark, folder):
-    return M.neighbour_map(usable(spark, folder), DIMS, 2, "tsne", perplexity=5, rounds=9)
+    return M.neighbour_map(usable(spark, folder), DIMS, 2, "tsne")
 
 
 @query
 def m3_coordinates(spark, folder):
-    return M.coordinates(M.neighbour_map(usable(spark, folder), DIMS, 3, "umap", rounds=6), 3)
+    return M.coordinates(M.neighbour_map(usable(spark, folder), DIMS, 3, "umap"), 3)
 
 
 @query
 def text_analysis_scores(spark, folder):
     """The whole text analysis: page text to site scores."""
     pages = I.page_text(spark, folder)
-    options = AnalysisOptions(perplexity=5, rounds=6, hashed_dimensions=64)
+    options = AnalysisOptions()
     return text_analysis(pages, I.site_pages(spark, folder), options)[1]
 
 
@@ -674,11 +681,12 @@ def r1_site_brief(spark, folder):
 # --- streaming ----------------------------------------------------------------------------
 
 
-def _as_stream(spark, rows, name: str, files: int):
-    """The rows written as files and read back as a stream, one file per micro-batch."""
+def _as_stream(spark, rows, name: str, batches: int):
+    """The rows written as files, one per core, and read back as a stream of so many micro-batches."""
     path = scratch_path(spark, name)
+    files = spark.sparkContext.defaultParallelism
     rows.repartition(files).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(path)
 
 
 @query

@@ -447,6 +447,11 @@ SELECT *, 'Pages: ' || total || chr(10) || 'Focus score: ' || focus_score || ' /
   || 'Closest to the core theme:' || chr(10) || focused_pages || chr(10) || 'Furthest from the core theme:' || chr(10) || divergent_pages || chr(10)
   || 'Page types:' || chr(10) || page_types || chr(10) || 'Similar pages:' || chr(10) || similar_pairs AS brief FROM parts"""
 
+ORACLES["m1_pca_energy"] = f"""WITH {_VECTORS}, parts AS (
+  SELECT site_id, url, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM vectors), means AS (
+  SELECT site_id, i, avg(v) AS m FROM parts GROUP BY ALL)
+SELECT site_id, url, round(sum((v - m) * (v - m)), 6) AS energy FROM parts JOIN means USING (site_id, i) GROUP BY ALL"""
+
 # --- streaming ---
 _ROLLUP = f"""WITH {_LOG}, counts AS (
   SELECT project, count(*) AS total, count(*) FILTER (status IN ('completed', 'skipped')) AS processed, count(*) FILTER (status = 'failed') AS failed

@@ -70,7 +70,8 @@ def _url_deltas(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
     before = _class_of(status) if seen else (0, 0)
     for batch in batches:
         for event_ts, event_status in zip(batch["ts_us"], batch["status"]):
-            if ts is None or (event_ts, event_status) > (ts, status):
+            # a null status comes before every other one of its time, as in the batch roll-up
+            if ts is None or (event_ts, event_status or "") > (ts, status or ""):
                 ts, status = int(event_ts), event_status
     state.update((ts, status))
     after = _class_of(status)
