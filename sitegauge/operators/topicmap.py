@@ -137,7 +137,7 @@ class LayoutStyle:
 
     a: float
     b: float
-    rounds: int = 20
+    rounds: int = 12
     repulsion: float = 5.0
     bucket_rows: int = 128
     # a layout is done when a round moves its pages by less than this on average
