@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.llm.common import counted_small
 from sitegauge.session import materialize
 
+#: Neighbours from which a node is a hub, whose links are kept from meeting in one task.
+HUB_LINKS = 256
+#: Parts that the links of hubs are cut into where the hubs are too many to be broadcast.
+SALTS = 64
+
 
 def _with_least(links: DataFrame) -> DataFrame:
-    """Every (u, v) beside the least of u and its neighbours."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+    """Every (u, v) beside the least of u and its neighbours.
+
+    The least comes to a hub's links by broadcast if the counted hubs allow it, else by salted
+    keys; other links join it by their node.
+    """
+    sizes = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = materialize(sizes.select("u", F.least("u", "m").alias("m"), "n"))
+    hubs = least.where(F.col("n") >= HUB_LINKS).select("u", F.col("m").alias("hub_m"))
+    if hubs.isEmpty():
+        return links.join(least.drop("n"), "u")
+    if counted_small(hubs):
+        marked = links.join(F.broadcast(hubs), "u", "left")
+    else:
+        salted = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
+        marked = links.withColumn("salt", salt).join(salted, ["u", "salt"], "left").drop("salt")
+    far = marked.where("hub_m is not null").select("u", F.col("hub_m").alias("m"), "v")
+    near = marked.where("hub_m is null").select("u", "v").join(least.where(F.col("n") < HUB_LINKS).drop("n"), "u")
+    return far.unionByName(near)
 
 
 def _large_star(links: DataFrame) -> DataFrame:
