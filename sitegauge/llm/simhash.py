@@ -6,11 +6,14 @@ Hamming distance in that half: a node splits by the distance to its vantage poin
 bound says that a pair within the half's radius shares a side unless it straddles the split, so
 only fingerprints on the boundary go to both sides. Leaves are the shards of a shuffle; inside
 a shard the same splitting goes on down to blocks small enough to compare directly, by all 64 bits.
+A crowded leaf that no vantage point divides is dealt into groups, and every two groups share
+a shard, so no task gets more than a shard's rows of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,16 @@ from sitegauge.session import materialize
 SEED = 42
 WIDTH = 3
 RADIUS = 3
-#: Distinct fingerprints that shape the trees. They set the balance of shards, never the result.
+#: Distinct fingerprints that shape the trees, and the largest share of all. They set the balance, never the result.
 SAMPLE_ROWS = 1 << 17
+SAMPLE_SHARE = 0.25
 #: Fingerprints a shard should hold, and a block that is compared directly.
 SHARD_ROWS = 1 << 14
 BLOCK_ROWS = 512
 #: A split must leave each side less than this share of the rows.
 WORST_SPLIT = 0.85
+#: Links of a shard that are held before they are reduced to one for each linked fingerprint.
+HELD_LINKS = 1 << 20
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -86,20 +92,27 @@ def _sides(away: np.ndarray, middle: int, radius: int) -> tuple[np.ndarray, np.n
 
 
 def grow_tree(sample: np.ndarray, total: int, side: int, radius: int) -> list[tuple[int, int, int, int]]:
-    """Nodes (point, split, left, right); a child below zero is the shard ~child."""
+    """Nodes (point, split, left, right); a child below zero is the shard of that number.
+
+    A split below zero marks a crowded leaf of that many groups, its shards numbered from left.
+    """
     nodes: list[tuple[int, int, int, int]] = []
     shards = 0
     rng = np.random.default_rng(SEED)
 
     def grow(half: np.ndarray) -> int:
         nonlocal shards
-        cut = None
-        if len(half) >= 32 and len(half) * total > SHARD_ROWS * len(sample):
-            cut = _split(half, rng, radius)
-        if cut is None:
+        crowded = len(half) >= 32 and len(half) * total > SHARD_ROWS * len(sample)
+        cut = _split(half, rng, radius) if crowded else None
+        if not crowded:
             shards += 1
             return -shards
         at = len(nodes)
+        if cut is None:
+            groups = -(-2 * len(half) * total // (SHARD_ROWS * len(sample)))
+            nodes.append((0, -groups, shards + 1, 0))
+            shards += groups * (groups - 1) // 2
+            return at
         nodes.append((0, 0, 0, 0))
         left, right = _sides(cut[2], cut[1], radius)
         nodes[at] = (cut[0], cut[1], grow(half[left]), grow(half[right]))
@@ -125,6 +138,13 @@ def _route(nodes: list, fps: np.ndarray, side: int, radius: int) -> Iterator[tup
             yield -at, rows
             continue
         point, middle, left, right = nodes[at]
+        if middle < 0:
+            group = (fps[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(-middle)
+            for shard, (one, other) in enumerate(combinations(range(-middle), 2), left):
+                part = rows[(group == one) | (group == other)]
+                if len(part):
+                    yield shard, part
+            continue
         for child, part in zip((left, right), _sides(np.bitwise_count(half[rows] ^ np.uint32(point)), middle, radius)):
             open_.append((child, rows[part]))
 
@@ -169,15 +189,30 @@ def shard_links(fps: np.ndarray, side: int, radius: int) -> Iterator[tuple[np.nd
                 yield _stars(np.concatenate([one, other]), radius)
 
 
+def reduced(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every linked fingerprint to the first of its component, in place of the links given."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    one, other = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(names))
+    while (apart := root[one] != root[other]).any():
+        one, other = one[apart], other[apart]
+        a, b = root[one], root[other]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    rows = np.flatnonzero(root != np.arange(len(names)))
+    return names[rows], names[root[rows]]
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v) links among distinct fingerprints ``fp``.
 
     They connect whatever is connected by pairs at most ``radius`` bits apart, but are stars of
-    each block and not all pairs, so a dense group gives as many links as it has fingerprints.
+    each block and not all pairs, so a dense group gives each shard no more links than fingerprints.
     """
     spark = fps.sparkSession
     total = fps.count()
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
+    share = min(SAMPLE_SHARE, SAMPLE_ROWS / max(total, 1))
     picked = fps.where(F.pmod(F.xxhash64("fp", F.lit("shape")), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = np.array([r["fp"] for r in picked.limit(2 * SAMPLE_ROWS).collect()], dtype=np.int64)
     trees = [grow_tree(sample, total, side, radius // 2) for side in (0, 1)]
@@ -194,8 +229,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                     )
 
     def join(key: tuple, part: pa.Table) -> pa.Table:
-        found = list(shard_links(part.column("fp").to_numpy(), key[0].as_py(), radius))
-        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        held, count = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for found in shard_links(part.column("fp").to_numpy(), key[0].as_py(), radius):
+            held.append(found)
+            count += len(found[0])
+            if count > HELD_LINKS:
+                held = [reduced(*map(np.concatenate, zip(*held)))]
+                count = 0
+        u, v = reduced(*map(np.concatenate, zip(*held)))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     routed = fps.mapInArrow(route, "side int, shard int, fp long")

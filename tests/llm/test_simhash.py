@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from sitegauge.llm import components as components_module
 from sitegauge.llm import simhash
 from sitegauge.llm.components import components
 
@@ -112,3 +113,42 @@ def test_components(spark):
     assert found == {(k, 1) for k in (1, 2, 3, 7, 8, 9)} | {(20, 20), (21, 20)}
     chain = spark.range(300).selectExpr("id u", "id + 1 v")
     assert {r.root for r in components(chain).collect()} == {0}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    rng = random.Random(3)
+    links = [(7, k) for k in range(1000, 1600)] + [(k, 5) for k in range(1300, 1700)] + [(2, 9000), (9000, 1650)]
+    links += [(20000 + k, 20000 + rng.randrange(k)) for k in range(1, 400)] + [(30000, 40000 + k) for k in range(300)]
+    table = spark.createDataFrame(links, "u long, v long")
+    want = {k: 2 for a, b in links for k in (a, b) if k < 20000}
+    want |= {k: 30000 for k in [30000, *range(40000, 40300)]} | {20000 + k: 20000 for k in range(400)}
+    assert {r.node: r.root for r in components(table).collect()} == want
+    monkeypatch.setattr(components_module, "counted_small", lambda df: False)
+    assert {r.node: r.root for r in components(table).collect()} == want
+
+
+def test_reduced_links_keep_components():
+    rng = np.random.default_rng(9)
+    u, v = rng.integers(-400, 400, (2, 500))
+    nodes, roots = simhash.reduced(u, v)
+    least = {int(k): int(k) for k in np.concatenate([u, v])}
+    for _ in range(len(least)):
+        before = dict(least)
+        for a, b in zip(u.tolist(), v.tolist()):
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    assert dict(zip(nodes.tolist(), roots.tolist())) == {k: r for k, r in least.items() if k != r}
+    assert all(len(part) == 0 for part in simhash.reduced(u[:0], v[:0]))
+
+
+def test_crowded_leaf_is_cut_and_loses_no_pair(monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 2**20, 900) << np.int64(32))  # one low half for all: no split by it
+    nodes = simhash.grow_tree(fps[::4], len(fps), 0, 1)
+    assert [n[1] < 0 for n in nodes] == [True]
+    shards = [set(rows.tolist()) for _, rows in simhash._route(nodes, fps, 0, 1)]
+    assert max(map(len, shards)) < 300
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    assert all(any({i, j} <= s for s in shards) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))))
