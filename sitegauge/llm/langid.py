@@ -2,7 +2,7 @@
 
 Every word has a score for each language, the log-likelihood of its letters given the two before,
 from counts over all training documents. The script of a word's first letter rules out languages
-that training hardly saw in it. The best path through the words pays a penalty for each
+that are hardly written in it; a rare language keeps its scripts, however much of a script is another's. The best path through the words pays a penalty for each
 switch of language, so a text of several languages falls into spans and a stray word
 does not. The document's language is the one with most letters on the path, its score their share.
 """
@@ -23,7 +23,7 @@ from sitegauge.llm.common import code_points, crc_remainder, pieces
 #: Buckets of hashed letter triples.
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 8.0
-#: A language stays a candidate for a script if this share of the script's letters was seen in it.
+#: A language stays a candidate for a script that has this share of the language's own letters.
 SCRIPT_SHARE = 0.001
 PRIOR = 0.1
 #: Score of a language that a word's script rules out; finite, so that sums keep what comes after.
@@ -109,7 +109,7 @@ def fit(docs: DataFrame) -> Model:
     smooth = grams + PRIOR
     scores = np.log(smooth / smooth.sum(axis=0, keepdims=True)) if languages else smooth
     scores = (scores - scores.mean(axis=1, keepdims=True)).astype(np.float32) if languages else scores.astype(np.float32)
-    share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
+    share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     narrowed = np.where(share >= SCRIPT_SHARE, 0.0, RULED_OUT)
     narrowed[~(share >= SCRIPT_SHARE).any(axis=1)] = 0.0  # a script that no language showed leaves all
     return Model(languages, scores, narrowed)

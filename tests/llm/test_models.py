@@ -45,6 +45,17 @@ def test_language_of_held_out_documents(spark):
     assert langid.predict(docs.where("false"), model).count() == 0
 
 
+def test_rare_language_keeps_its_script(spark):
+    rng = random.Random(6)
+    often, rare = (["".join(rng.choice(letters) for _ in range(6)) for _ in range(60)] for letters in ("abcdefghil", "klmnopqrst"))
+    rows = [(k, " ".join(rng.choices(often, k=40)), "aa") for k in range(6000)]
+    rows += [(-k, " ".join(rng.choices(rare, k=40)), "zz") for k in (1, 2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "zz"]
+    asked = spark.createDataFrame([(1, " ".join(rare[:30])), (2, " ".join(often[:30]))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "zz", 2: "aa"}
+
+
 def test_viterbi_path_is_the_best_path():
     rng = np.random.default_rng(0)
     for words in (1, 2, 5, 6):
