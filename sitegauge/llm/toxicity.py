@@ -10,7 +10,8 @@ documents keep using does, with whatever ending.
 
 The log ratios of a text's words, each less a margin, are summed, normalised by the square root of
 the number of words, and calibrated by logistic regression on labelled rows that the counts
-leave out.
+leave out. The most frequent starts are broadcast. Words that lead beyond them are gathered once
+each and joined with the whole table, so that no start is left out, whatever their number.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import StructType
 
 from sitegauge.llm.common import crc_remainder, small_side
 from sitegauge.session import materialize
@@ -39,7 +40,7 @@ BACKOFF = 50.0
 LETTERS = 40
 #: A word's log ratio counts by what it has beyond this; smaller ones are chance, and there are many.
 MARGIN = 1.0
-#: Starts of words that the model keeps, the most frequent first; bounds what is broadcast.
+#: Starts of words that are broadcast, the most frequent first; the others are joined with.
 MODEL_ROWS = 1 << 19
 #: Labelled rows left out of the counts: one of so many; and how many of them fit the calibration.
 CALIBRATION_SHARE = 8
@@ -52,13 +53,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
-    """Log ratios of known starts of words, ratios of unknown letters after them, calibration."""
+    """Log ratios of known starts of words, ratios of unknown letters after them, calibration.
+
+    If not all are held, ``table`` has the whole of them as (start, step, unseen) and ``more`` the held starts that
+    others follow which are not.
+    """
 
     step: dict[str, float]
     unseen: dict[str, float]
     slope: float = 1.0
     shift: float = 0.0
     empty: bool = False
+    more: frozenset[str] = field(default_factory=frozenset)
+    table: DataFrame | None = None
 
 
 def starts(text: str | None) -> Counter:
@@ -127,35 +134,97 @@ def _ratios(counts: DataFrame) -> DataFrame:
 
 
 def _scorer(model: Model):
-    cache: dict[str, float] = {}
-    step, unseen = model.step, model.unseen
+    cache: dict[str, float | tuple[float, int, float]] = {}
+    step, unseen, more = model.step, model.unseen, model.more
 
-    def of_word(word: str) -> float:
+    def of_word(word: str) -> float | tuple[float, int, float]:
         spelled, total = word + "$", 0.0
         for end in range(1, min(len(spelled), REACH) + 1):
             known = step.get(spelled[:end])
             if known is None:
-                total += unseen.get(spelled[: end - 1], 0.0)
+                stopped = unseen.get(spelled[: end - 1], 0.0)
+                if spelled[: end - 1] in more:
+                    return total, end, stopped
+                total += stopped
                 break
             total += known
         return max(total - MARGIN, 0.0) + min(total + MARGIN, 0.0)
 
-    def ratio(text: str | None) -> float:
-        """Log ratios of the words over the square root of their number; zero without words."""
+    def ratio(text: str | None) -> tuple[float, int, list[tuple]]:
+        """Sum of the words' log ratios, their number, and the words that lead beyond the held starts.
+
+        Of the latter: how often it occurs, the sum up to the first start that is not held, its
+        length, and what an unknown letter adds there.
+        """
         found = _WORD.findall((text or "").lower())
-        total = 0.0
+        total, rest = 0.0, []
         for word, times in Counter(found).items():
             value = cache.get(word)
             if value is None:
                 if len(cache) > CACHE_ROWS:
                     cache.clear()
                 value = cache[word] = of_word(word)
-            total += times * value
-        return total / len(found) ** 0.5 if found else 0.0
+            if isinstance(value, tuple):
+                rest.append((word, times, *value))
+            else:
+                total += times * value
+        return total, len(found), rest
 
     return ratio
 
 
+def _word_values(words: DataFrame, table: DataFrame) -> DataFrame:
+    """(word, value) of words (word, held, length, stopped) by the whole table."""
+    spelled = F.concat("word", F.lit("$"))
+    lengths = F.sequence(F.col("length"), F.least(F.char_length(spelled), F.lit(REACH)))
+    each = words.withColumn("end", F.explode(lengths)).withColumn("start", F.substring(spelled, F.lit(1), F.col("end")))
+    met = each.join(table, "start", "left").groupBy("word", "held", "stopped")
+    steps = met.agg(F.sort_array(F.collect_list(F.struct("end", "step", "unseen"))).alias("steps"))
+
+    def on(state: Column, e: Column) -> Column:
+        known = state["going"] & e["step"].isNotNull()
+        total = state["total"] + F.when(known, e["step"]).when(state["going"], state["stopped"]).otherwise(0.0)
+        return F.struct(total.alias("total"), F.coalesce(e["unseen"], F.lit(0.0)).alias("stopped"), known.alias("going"))
+
+    start = F.struct(F.col("held").alias("total"), F.col("stopped").alias("stopped"), F.lit(True).alias("going"))
+    total = F.aggregate("steps", start, on, lambda state: state["total"])
+    return steps.select("word", total.alias("t")).select("word", (F.greatest(F.col("t") - MARGIN, F.lit(0.0)) + F.least(F.col("t") + MARGIN, F.lit(0.0))).alias("value"))
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _ratios_of(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with their texts' key and x, the words' log ratios over the square root of their number, in place of text."""
+    shared = rows.sparkSession.sparkContext.broadcast(replace(model, table=None))
+    carried = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = _scorer(shared.value)
+        for batch in batches:
+            found = [ratio(t.as_py()) for t in batch.column("text")]
+            rest = [[dict(zip(("word", "times", "held", "length", "stopped"), w)) for w in r] for _, _, r in found]
+            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("held", pa.float64()), ("length", pa.int32()), ("stopped", pa.float64())]))
+            columns = [pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array(rest, kind)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "_key")), *columns], [*carried, "_key", "_total", "_n", "_rest"])
+
+    keyed = rows.withColumn("_key", _text_key(F.col("text")))
+    found = StructType.fromDDL("_total double, _n long, _rest array<struct<word:string,times:long,held:double,length:int,stopped:double>>")
+    schema = StructType([*(rows.schema[c] for c in carried), keyed.schema["_key"], *found.fields])
+    parts = keyed.select(*carried, "text", "_key").mapInArrow(run, schema)
+    total = F.col("_total")
+    if model.table is not None:
+        parts = materialize(parts)
+        rest = parts.select("_key", F.explode("_rest").alias("w")).select("_key", "w.*").dropDuplicates(["_key", "word"])
+        words = rest.select("word", "held", "length", "stopped").dropDuplicates(["word"])
+        values = materialize(_word_values(words, model.table))
+        added = rest.join(small_side(values), "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("value")).alias("_added"))
+        parts = parts.join(added, "_key", "left")
+        total = total + F.coalesce("_added", F.lit(0.0))
+    return parts.select(*carried, "_key", F.when(F.col("_n") > 0, total / F.sqrt("_n")).otherwise(0.0).alias("x"))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the calibration, by damped Newton steps."""
     design = np.stack([x, np.ones(len(x))], axis=1)
@@ -169,45 +238,56 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """(text, toxic, calibrates) of training rows. A document with several labels takes the largest."""
+    """(text, toxic, calibrates, place) of training rows, place by a hash of the doc_id. A document with several labels takes the largest."""
     marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out).select(F.col("doc_id").alias("_labelled"), "toxic")
     rows = docs.select("doc_id", "text").join(small_side(marks), F.col("doc_id") == F.col("_labelled"))
     aside = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibration")), F.lit(CALIBRATION_SHARE)) == 0
-    return rows.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"), aside.alias("calibrates"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.lit(1 << 20))
+    return rows.select(
+        F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"), aside.alias("calibrates"), place.alias("place")
+    )
+
+
+def _held_model(ratios: DataFrame) -> Model:
+    """Holds the most frequent starts of the table, and the table too if there are more."""
+    head = ratios.orderBy(F.desc("weight"), "start").limit(MODEL_ROWS).toArrow()
+    names = head.column("start").to_pylist()
+    model = Model(*({k: v for k, v in zip(names, head.column(c).to_pylist()) if v is not None} for c in ("step", "unseen")))
+    if ratios.count() <= len(names):
+        return model
+    least = head.column("weight")[-1].as_py()
+    held = (F.col("weight") > least) | (F.col("weight") == least) & (F.col("start") <= names[-1])
+    before = F.substring("start", F.lit(1), F.length("start") - 1).alias("start")
+    followed = ratios.where(held).select("start").join(ratios.where(~held & F.col("step").isNotNull()).select(before).distinct(), "start", "left_semi")
+    model.more = frozenset(followed.toArrow().column("start").to_pylist())
+    model.table = ratios.where(~held).select("start", "step", "unseen")
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from all labelled rows whose crc32(doc_id) mod 5 is not 0, counts by Spark."""
-    spark = docs.sparkSession
     rows = labelled_rows(docs, labels, crc_remainder(F.col("doc_id"), 5) == 0)
     counts = materialize(_count_starts(rows.where("not calibrates").select("text", "toxic")))
     if not counts.where("c1 > 0").head(1) or not counts.where("c0 > 0").head(1):
         return Model({}, {}, empty=True)
-    table = _ratios(counts).orderBy(F.desc("weight"), "start").limit(MODEL_ROWS).toArrow()
-    names = table.column("start").to_pylist()
-    model = Model(*({k: v for k, v in zip(names, table.column(c).to_pylist()) if v is not None} for c in ("step", "unseen")))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = _scorer(shared.value)
-        for batch in batches:
-            x = [ratio(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("toxic")], ["x", "toxic"])
-
-    aside = rows.where("calibrates").select("text", "toxic").mapInArrow(run, "x double, toxic int")
-    fitted = aside.limit(CALIBRATION_ROWS).toArrow()
+    model = _held_model(materialize(_ratios(counts)))
+    aside = rows.where("calibrates")
+    share = min(1.0, CALIBRATION_ROWS / max(aside.count(), 1))
+    chosen = aside.where(F.col("place") < int(share * (1 << 20)))
+    fitted = _ratios_of(chosen.select("toxic", "text"), model).select("x", "toxic").toArrow()
     y = fitted.column("toxic").to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         model.slope, model.shift = _logistic(fitted.column("x").to_numpy(), y)
     return model
 
 
-def _scores(model: Model, texts: list[str | None], ratio) -> np.ndarray:
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` with their texts' key and score in place of text."""
     if model.empty:
-        return np.zeros(len(texts))
-    x = np.array([ratio(t) for t in texts], dtype=float)
-    return 1 / (1 + np.exp(-np.clip(model.slope * x + model.shift, -30, 30)))
+        return rows.select(*(c for c in rows.columns if c != "text"), _text_key(F.col("text")).alias("_key"), F.lit(0.0).alias("score"))
+    logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), model.slope * F.col("x") + model.shift))
+    return _ratios_of(rows, model).withColumn("score", 1 / (1 + F.exp(-logit))).drop("x")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -217,27 +297,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Without labelled rows of both classes every score is 0. Repeated rows stay repeated; a null
     doc_id stays null; further columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = _scorer(shared.value)
-        for batch in batches:
-            found = _scores(shared.value, [t.as_py() for t in batch.column("text")], ratio)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
-
-    schema = StructType([docs.schema["doc_id"]]).add("score", DoubleType())
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return _scored(docs.select("doc_id", F.col("text").cast("string").alias("text")), model).select("doc_id", "score")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = _scorer(shared.value)
-        for batch in batches:
-            found = _scores(shared.value, [t.as_py() for t in batch.column(at)], ratio)
-            yield batch.filter(pa.array(found < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    scored = _scored(docs.select(F.col("text").cast("string").alias("text")), model)
+    toxic = materialize(scored.where(F.col("score") >= threshold).select(F.col("_key").alias("_toxic_key")).distinct())
+    return docs.join(small_side(toxic), _text_key(docs["text"]) == toxic["_toxic_key"], "left_anti")

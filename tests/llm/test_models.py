@@ -94,6 +94,22 @@ def test_toxicity_of_held_out_documents(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def test_scores_do_not_depend_on_the_starts_that_are_held(spark, monkeypatch):
+    docs, labels = odd(spark, table(spark, FOLDER, "documents")), table(spark, FOLDER, "labels")
+
+    def result():
+        model = toxicity.fit(docs, labels)
+        scored = toxicity.score(docs, model).orderBy("doc_id", "score").collect()
+        kept = sorted(r.doc_id or 0 for r in toxicity.drop_toxic(docs, model).select("doc_id").collect())
+        return len(model.step), [r.doc_id for r in scored], np.array([r.score for r in scored]), kept
+
+    whole = result()
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 700)
+    few = result()
+    assert few[0] <= 700 < whole[0] and few[1] == whole[1] and few[3] == whole[3]
+    assert np.allclose(few[2], whole[2], atol=1e-9)
+
+
 def test_start_counts_are_per_document(spark):
     rows = [("Bad bad bad bad worse", 1), ("bad", 0), (None, 1), ("", 0)]
     found = {r.start: (r.c0, r.c1) for r in toxicity._count_starts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
