@@ -151,7 +151,8 @@ def _route(nodes: list, fps: np.ndarray, side: int, radius: int) -> Iterator[tup
 
 def _stars(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Every linked fingerprint of a block and the first of its component within the block."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    bits = fps.view(np.uint64)  # counting bits takes signed numbers for their size
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     linked = np.flatnonzero(near.sum(axis=1) > 1)
     root = np.full(len(fps), -1)
     for row in linked:

@@ -152,3 +152,16 @@ def test_crowded_leaf_is_cut_and_loses_no_pair(monkeypatch):
     assert max(map(len, shards)) < 300
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
     assert all(any({i, j} <= s for s in shards) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))))
+
+
+def test_links_across_the_sign_bit():
+    """Fingerprints whose difference includes the highest bit are signed numbers far apart."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**63), 2**63, 40, dtype=np.int64)
+    flips = np.array([1 << 63, (1 << 63) + 1, (1 << 63) + 6, 7], dtype=np.uint64).view(np.int64)
+    for flip in flips:
+        u, v = simhash._stars(np.concatenate([base, base ^ flip]), 3)
+        assert {frozenset(p) for p in zip(u.tolist(), v.tolist())} == {frozenset((int(b), int(b ^ flip))) for b in base}
+    for side in (0, 1):
+        u, v = simhash._stars(np.array([5, ~5], dtype=np.int64), 3)
+        assert not len(u)
