@@ -8,20 +8,25 @@ encoded by the tokenizer itself, a batch at a time, and kept in a bounded cache
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
-from tokenizers import Tokenizer
+
+from sitegauge.llm import workers
 
 #: Documents that fill the table, its entries, and a worker's cache entries.
 SAMPLE_DOCS = 4_000
 TABLE_ROWS = 1 << 16
+#: Entries of the sample that one task hands to the driver; no pre-token is shuffled there either.
+TASK_ROWS = 1 << 14
 CACHE_ROWS = 200_000
 #: Longer pre-tokens are not kept from one batch to the next.
 LONGEST_KEPT = 64
@@ -33,12 +38,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class TwoTiers:
-    """Counts tokens of texts: the broadcast table, then the cache, then the tokenizer."""
+    """Counts tokens of texts: the broadcast table, then the cache, then the process's tokenizer."""
 
     def __init__(self, path: str, table: dict[str, int] | None = None) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.tokenizer = workers.byte_level(path)
         self.cut = regex.compile(PATTERN).findall
         self.table = table or {}
         self.cache: dict[str, int] = {}
@@ -46,8 +49,12 @@ class TwoTiers:
         self.special = regex.compile("|".join(map(regex.escape, special))).search if special else lambda text: None
 
     def sizes(self, parts: list[str]) -> list[int]:
-        """Numbers of tokens of pre-tokens."""
-        return [len(e.ids) for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        """Numbers of tokens of pre-tokens, a bounded number of them encoded at once."""
+        found: list[int] = []
+        for start in range(0, len(parts), workers.ENCODED_AT_ONCE):
+            coded = self.tokenizer.encode_batch(parts[start : start + workers.ENCODED_AT_ONCE], add_special_tokens=False)
+            found += [len(e.ids) for e in coded]
+        return found
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -85,13 +92,27 @@ def frequent_pretokens(docs: DataFrame, path: str, total: int | None = None) ->
         for batch in batches:
             for text in batch.column("text"):
                 counts.update(p for p in cut(text.as_py() or "") if len(p) <= LONGEST_KEPT)
-        kept = counts.most_common(TABLE_ROWS)
+        kept = counts.most_common(TASK_ROWS)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["p", "n"])
 
-    counted = picked.mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counted.orderBy(F.desc("n"), "p").limit(TABLE_ROWS).toArrow()
-    parts = rows.column("p").to_pylist()
-    return dict(zip(parts, TwoTiers(path).sizes(parts))) if parts else {}
+    rows = picked.mapInArrow(run, "p string, n long").limit(16 * TABLE_ROWS).toArrow()
+    counts: Counter = Counter()
+    for part, n in zip(rows.column("p").to_pylist(), rows.column("n").to_pylist()):
+        counts[part] += n
+    parts = [p for p, n in counts.most_common(TABLE_ROWS) if n > 1]
+    return dict(zip(parts, TwoTiers(path).sizes(parts)))
+
+
+#: The counter of this worker process and the name of its broadcast table.
+_counter: dict[str, tuple[str, TwoTiers]] = {}
+
+
+def _of_process(path: str, name: str, shared: Broadcast) -> TwoTiers:
+    """One counter a process, kept from task to task while the broadcast table, known by ``name``, is the same."""
+    held = _counter.get(path)
+    if held is None or held[0] != name:
+        _counter[path] = (name, TwoTiers(path, shared.value))
+    return _counter[path][1]
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -101,10 +122,10 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     A null text counts as empty: no bytes, no tokens. Repeated rows stay repeated, a null doc_id
     stays null, an empty table gives an empty result, further columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path))
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TwoTiers(path, shared.value)
+        counter = _of_process(path, name, shared)
         for batch in batches:
             sizes, counts, group, held = [], [], [], 0
             for value in batch.column("text"):
