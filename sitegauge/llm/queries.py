@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import chat, decontaminate, langid, mixing, pii, quality, secrets, simhash, tokencount, toxicity
+from sitegauge.llm import (
+    align,
+    chat,
+    decontaminate,
+    langid,
+    mixing,
+    parity,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    tokencount,
+    toxicity,
+    whitening,
+)
 from sitegauge.llm.common import crc_remainder, table
 from sitegauge.session import ship_package
 
@@ -107,6 +121,35 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    aligned = align.align_corpus(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.usable(table(spark, folder, "embeddings").select("vec_id", "embedding"), "embedding")
+    model = whitening.fit(rows, "embedding")
+    found = whitening.apply(rows, "embedding", model)
+    shares = F.array(*map(F.lit, model.explained.tolist())).cast("array<double>")
+    return found.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        shares[F.col("place")].alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+@_query
+def op13_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parity.near_duplicates(table(spark, folder, "documents"))
+
+
 ORACLES["op1_benchmark_decontamination"] = decontaminate.ORACLE
 ORACLES["op5_mixing_sources"] = mixing.ORACLE
 ORACLES["op10_chat_formatting"] = chat.ORACLE
