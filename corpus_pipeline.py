@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontaminate, mixing, secrets, similar, toxicity
+from sitegauge.llm import decontaminate, mixing, secrets, simhash, toxicity
 from sitegauge.llm.common import table
 from sitegauge.session import scratch_path, ship_package
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of 0.8 or more the one with the least doc_id stays."""
-    return similar.keep_one(docs)
+    """Of documents linked by SimHash fingerprints, three words a shingle and at most 3 bits apart, the one with the least doc_id stays."""
+    return simhash.keep_one(docs, width=3, radius=3)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
