@@ -44,6 +44,10 @@ CROWD = 64
 CROWD_BLOCK = 1_024
 #: Shingles of a document's partners that one salted share of them may hold.
 SHARE_SHINGLES = 1 << 20
+#: Rows of two numbers that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Shingles whose blocks are formed together.
+BLOCKED_AT_ONCE = 1 << 17
 #: Words hashed that a worker keeps.
 CACHE_ROWS = 500_000
 
@@ -107,32 +111,50 @@ def bands_of(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     return [f for f in found if f[1]]
 
 
-def blocks(shingles: np.ndarray, band: int, apart: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of a set in a band, and its folded sketch, one byte a block.
+def blocks(
+    sets: list[np.ndarray], bands: list[int], aparts: list[int], frequent: tuple[np.ndarray, np.ndarray]
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each set, in its band: join keys, and the folded sketch, one byte a block.
 
     Two sets that differ in d shingles have at least (blocks - d) equal blocks. In any order that goes
     by a block's own content, the first of those is among the first d + 1 blocks of both sets. The
     order here: blocks that hold a rare shingle first, those of several shingles before single ones, empty blocks last.
+    All sets are worked on at once, their blocks one after the other.
     """
-    count = int(BLOCK_SHARE * band) + BLOCKS_MORE
-    place = ((shingles * np.uint64(_ODD[1])) >> np.uint64(32)) % np.uint64(count)
+    counts = np.array([int(BLOCK_SHARE * b) + BLOCKS_MORE for b in bands])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingles = np.concatenate(sets)
+    place = ((shingles * np.uint64(_ODD[1])) >> np.uint64(32)) % counts[own].astype(np.uint64)
+    place = place.astype(np.int64) + first[own]
     order = np.argsort(place, kind="stable")
-    place, sorted_ = place[order].astype(np.int64), shingles[order]
-    names, starts, held = np.unique(place, return_index=True, return_counts=True)
-    content = np.zeros(count, np.uint64)
-    content[names] = np.bitwise_xor.reduceat(mixed(sorted_ * np.uint64(_ODD[2])), starts)
-    folded = np.zeros(-(-count // 8) * 8, np.uint8)
-    folded[names] = np.bitwise_xor.reduceat(np.uint8(1) << (sorted_ >> np.uint64(61)).astype(np.uint8), starts)
-    common = np.full(count, np.iinfo(np.int64).max)
-    at = np.searchsorted(frequent[0], sorted_)
-    at[at == len(frequent[0])] = 0
-    seen = np.where(frequent[0][at] == sorted_, frequent[1][at], 0) if len(frequent[0]) else np.zeros(len(sorted_), np.int64)
+    place, shingles = place[order], shingles[order]
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    names = place[starts]
+    content = np.zeros(first[-1], np.uint64)
+    content[names] = np.bitwise_xor.reduceat(mixed(shingles * np.uint64(_ODD[2])), starts)
+    folded = np.zeros(first[-1], np.uint8)
+    folded[names] = np.bitwise_xor.reduceat(np.uint8(1) << (shingles >> np.uint64(61)).astype(np.uint8), starts)
+    common = np.full(first[-1], np.iinfo(np.int64).max)
+    seen = np.zeros(len(shingles), np.int64)
+    if len(frequent[0]):
+        at = np.searchsorted(frequent[0], shingles)
+        at[at == len(frequent[0])] = 0
+        seen = np.where(frequent[0][at] == shingles, frequent[1][at], 0)
     common[names] = np.minimum.reduceat(seen, starts)
-    sizes = np.zeros(count, np.int64)
-    sizes[names] = -held
-    key = mixed(content + np.arange(count, dtype=np.uint64) * np.uint64(_ODD[3]) + np.uint64(band))
-    first = np.lexsort((key, sizes, common))[: apart + 1]
-    return key[first], folded
+    sizes = np.zeros(first[-1], np.int64)
+    sizes[names] = -np.diff(np.append(starts, len(place)))
+    of = np.repeat(np.arange(len(sets)), counts)
+    number = np.arange(first[-1]) - first[of]
+    key = mixed(content + number.astype(np.uint64) * np.uint64(_ODD[3]) + np.array(bands, np.uint64)[of])
+    ranked = np.lexsort((key, sizes, common, of))
+    key = key[ranked]
+    found = []
+    for k, apart in enumerate(aparts):
+        sketch = np.zeros(-(-counts[k] // 8) * 8, np.uint8)
+        sketch[: counts[k]] = folded[first[k] : first[k + 1]]
+        found.append((key[first[k] : min(first[k] + apart + 1, first[k + 1])], sketch))
+    return found
 
 
 def _batches(text: pa.Array, hasher: Hasher) -> Iterator[np.ndarray]:
@@ -186,8 +208,17 @@ def _block_rows(docs: DataFrame, frequent, width: int, seed: int, percent: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(width, seed), set()
+        wait: list[tuple] = []
+        held = 0
+
+        def made() -> pa.RecordBatch:
+            sets, nodes, bands, aparts = zip(*wait)
+            parts = blocks(list(sets), list(bands), list(aparts), shared.value)
+            columns = (nodes, bands, [len(s) for s in sets], [k.view(np.int64) for k, _ in parts], [f.view(np.int64) for _, f in parts])
+            wait.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
         for batch in batches:
-            rows = []
             for key, value in zip(batch.column("key").to_pylist(), batch.column("text")):
                 if key in seen:
                     continue
@@ -196,12 +227,13 @@ def _block_rows(docs: DataFrame, frequent, width: int, seed: int, percent: int)
                 seen.add(key)
                 found = hasher.shingles(value.as_py())
                 for band, apart in bands_of(len(found), percent):
-                    keys, folded = blocks(found, band, apart, shared.value)
-                    rows.append((digest(found)[0], band, len(found), keys.view(np.int64), folded.view(np.int64)))
-                    if sum(len(r[3]) for r in rows[-64:]) > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-                        rows = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+                    wait.append((found, digest(found)[0], band, apart))
+                    held += len(found)
+                if held > BLOCKED_AT_ONCE:
+                    yield made()
+                    held = 0
+        if wait:
+            yield made()
 
     return _keyed(docs).mapInArrow(run, "node long, band int, n long, keys array<long>, sketch array<long>")
 
@@ -230,7 +262,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, s
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node").select("key")
-    chosen = _keyed(docs).join(small_side(materialize(wanted)), "key", "left_semi").dropDuplicates(["key"])
+    chosen = _keyed(docs).join(small_side(materialize(wanted), BROADCAST_ROWS), "key", "left_semi").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(width, seed)
@@ -286,18 +318,18 @@ def _apart_in_crowds(members: DataFrame, sketches: DataFrame, percent: int) -> D
     return cells.groupBy("key", "low", "high").applyInArrow(run, "band int, u long, v long")
 
 
-def links(docs: DataFrame, texts: DataFrame, frequent, width: int, seed: int, percent: int) -> DataFrame:
-    """(u, v) of sets by node: all links needed to connect whatever links connect. ``texts`` has (node, key)."""
+def linked(docs: DataFrame, texts: DataFrame, frequent, width: int, seed: int, percent: int) -> DataFrame:
+    """(node, root): every linked set with the least node that it reaches. ``texts`` has (node, key)."""
     spark = docs.sparkSession
     path = scratch_path(spark, "blocks")
     _block_rows(docs, frequent, width, seed, percent).write.parquet(path)
     made = spark.read.parquet(path)
-    sketches = materialize(made.dropDuplicates(["band", "node"]).select("band", "node", "n", "sketch"))
+    sketches = made.dropDuplicates(["band", "node"]).select("band", "node", "n", "sketch")
     keyed = made.select("band", "node", F.explode("keys").alias("key"))
     met = keyed.groupBy("key", "band").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n"))
     met = materialize(met.where("u != v"))
     # two documents are a pair; of more, each is compared with the least
-    members = materialize(keyed.join(small_side(met.where("n > 2").select("key", "u")), "key").distinct())
+    members = materialize(keyed.join(small_side(met.where("n > 2").select("key", "u"), BROADCAST_ROWS), "key").distinct())
     pairs = met.where("n = 2").select("band", "u", "v").unionByName(
         members.where("node != u").select("band", "u", F.col("node").alias("v"))
     )
@@ -306,12 +338,16 @@ def links(docs: DataFrame, texts: DataFrame, frequent, width: int, seed: int, pe
     rooted = members.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other")).where("n > 2 and one != other")
     open_ = materialize(rooted.join(apart.select("key", "n"), "key"))
+    if open_.isEmpty():
+        return roots
     few = open_.where(F.col("n") <= CROWD)
     mates = few.select("key", F.col("node").alias("v"), F.col("root").alias("other"))
     left = few.select("key", "band", F.col("node").alias("u"), "root").join(mates, "key").where("u < v and root != other").select("band", "u", "v")
     crowds = _apart_in_crowds(open_.where(F.col("n") > CROWD).drop("n"), sketches, percent)
-    later = _may_link(left.unionByName(crowds), sketches, percent)
-    return first.unionByName(_verified(later, docs, texts, width, seed, percent))
+    later = _verified(_may_link(left.unionByName(crowds), sketches, percent), docs, texts, width, seed, percent)
+    # the components found are links of their own
+    later = materialize(later)
+    return roots if later.isEmpty() else components(later.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -328,7 +364,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         if classes.where("low != high").isEmpty():  # else two sets share a node: hash anew
             break
     frequent = _frequent(docs, marked.count(), width, seed)
-    roots = components(links(docs, classes.select("node", "key"), frequent, width, seed, percent))
+    roots = linked(docs, classes.select("node", "key"), frequent, width, seed, percent)
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = placed.join(named, "root").select("node", "component_id")

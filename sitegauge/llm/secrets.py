@@ -349,12 +349,17 @@ def _merged(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span in its texts replaced by ``mark``, other texts and all rows as they are.
 
-    Where there is a column n_chars, it follows the new text of changed rows.
+    Where there is a column n_chars, it follows the new text of changed rows. Other columns keep their values,
+    whatever their names. A null text stays null, an empty one empty; repeated rows stay repeated; an empty table
+    gives an empty result.
     """
     letters = letter_counts(docs)
     only = materialize(_with_candidates(_with_base(_with_text(docs.select("text"))), letters).select("_candidates"))
     least = levels(only.select(F.explode("_candidates").alias("c")).select("c.*"))
-    judged = _with_spans(_with_candidates(_with_base(_with_text(docs)), letters), least)
+    # the rows' own columns go by numbers meanwhile, so that no name of theirs meets one used here
+    own = {c: f"_own{k}" for k, c in enumerate(docs.columns)}
+    apart = docs.select("text", *(F.col(f"`{c}`").alias(name) for c, name in own.items()))
+    judged = _with_spans(_with_candidates(_with_base(_with_text(apart)), letters), least)
     holes = judged.withColumn("_holes", _merged(F.col("_spans")))
 
     def gap(i: Column) -> Column:
@@ -367,5 +372,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     new = {"text": F.coalesce("_clean", F.col("text").cast("string"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_clean").isNotNull(), F.char_length("_clean").cast(kind)).otherwise(F.col("n_chars"))
-    return marked.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.when(F.col("_clean").isNotNull(), F.char_length("_clean").cast(kind)).otherwise(F.col(own["n_chars"]))
+    return marked.select(*((new[c] if c in new else F.col(own[c])).alias(c) for c in docs.columns))

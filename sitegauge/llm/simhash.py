@@ -18,10 +18,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
+from sitegauge.llm.common import free
 from sitegauge.llm.components import components
 from sitegauge.session import materialize
 
@@ -59,15 +60,20 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fp of every row; a null text counts as empty, whose fingerprint is zero."""
+    """doc_id, mark (of doc_id and text together) and fp of every row; a null text counts as empty, whose fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = [fingerprint(t.as_py(), width) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(marks, pa.int64())], ["doc_id", "mark", "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = StructType([docs.schema["doc_id"]]).add("mark", StringType()).add("fp", LongType())
+    return docs.select("doc_id", _mark(docs).alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _mark(docs: DataFrame) -> Column:
+    """128 bits of a row's doc_id and text."""
+    return F.md5(F.concat_ws("|", F.coalesce(docs["doc_id"].cast("string"), F.lit("none")), F.coalesce(docs["text"].cast("string"), F.lit(""))))
 
 
 def _half(fps: np.ndarray, side: int) -> np.ndarray:
@@ -245,14 +251,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _classes(docs: DataFrame, width: int, radius: int) -> DataFrame:
-    """doc_id, fp, root (least fingerprint of the component) and component_id of every row."""
+    """doc_id, mark, fp, root (least fingerprint of the component) and component_id of every row."""
     marked = materialize(with_fingerprints(docs, width))
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = placed.join(named, "root").select("fp", "root", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "mark", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -269,27 +275,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the least doc_id.
 
-    Repeated rows with that id count once. A component of rows without any doc_id keeps one of them.
-    Columns stay as they are, whatever their names.
+    A component of rows without any doc_id keeps one of them. Where one doc_id has several texts in a
+    component, one of them stays; in different components, each is judged with its own. Repeated rows
+    with that doc_id and text count once. Null and empty texts are copies of each other. Columns stay as
+    they are, whatever their names; an empty table gives an empty result.
     """
     found = _classes(docs, width, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(docs["doc_id"].isNull())
-    if nameless.isEmpty():
-        return named
-    free = found.where("component_id is null and fp = root").select(F.col("fp").alias("_free")).distinct()
-    marked = _append_fingerprint(nameless, width)
-    alone = marked.join(free, marked["_fp"] == free["_free"], "left_semi").dropDuplicates(["_fp"])
-    return named.unionByName(alone.drop("_fp"))
-
-
-def _append_fingerprint(rows: DataFrame, width: int) -> DataFrame:
-    at = rows.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [fingerprint(t.as_py(), width) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "_fp"])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_fp", LongType()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("first")
+    name = free(docs.columns, "mark")
+    kept = found.groupBy("root").agg(first).select(F.col("first.mark").alias(name))
+    return docs.withColumn(name, _mark(docs)).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

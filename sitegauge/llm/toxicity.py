@@ -1,17 +1,20 @@
-"""Toxicity by two class-conditional Kneser-Ney models of how words are spelled.
-
-Each class (ordinary, toxic) has a model that spells a word letter by letter, given what of the word
-came before. Its counts are of documents: how many of the class show a word that starts so, a
-document counting at most ``DOC_CAP`` times. Every count is discounted; what the discounts free,
-and ``BACKOFF`` pseudo-counts, go to one distribution that both classes share, with the counts of
-both, itself discounted towards equal letters. So an expression too rare to tell anything has
-the same probability in both models and does not move the score, while a stem that toxic
-documents keep using does, with whatever ending.
-
-The log ratios of a text's words, each less a margin, are summed, normalised by the square root of
-the number of words, and calibrated by logistic regression on labelled rows that the counts
-leave out. The most frequent starts are broadcast. Words that lead beyond them are gathered once
-each and joined with the whole table, so that no start is left out, whatever their number.
+"""Toxicity by two class-conditional Kneser-Ney models of spelled words.
+
+Each class (ordinary, toxic) has an interpolated model that spells every word to its end, a letter
+given the ``ORDER - 1`` before it. Its counts are absolutely discounted, and what the discounts free goes to one
+distribution that both classes share: their pooled counts, backed off through continuation
+counts (in how many longer contexts a letter follows) of ever shorter contexts. The larger class's
+counts are scaled to the smaller's size, so that neither has more to discount. An expression too
+rare to tell anything so has the same probability in both and does not move the score.
+
+A toxic text is mostly ordinary words: its likelihood is that of a mixture, a share ``TOXIC_SHARE`` of
+the words from the toxic model and the rest from the ordinary one. The difference of the two
+log-likelihoods is divided by the number of words and calibrated by logistic regression on labelled rows
+that the counts leave out.
+
+What the class counts tell nothing about needs no entry: its ratio is its context's. Of the entries
+the weightiest are broadcast, with a bit map of the others; words that may meet those are gathered
+once each and joined with the whole table, so no entry is left out, whatever their number.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,18 +34,17 @@ from pyspark.sql.types import StructType
 from sitegauge.llm.common import crc_remainder, small_side
 from sitegauge.session import materialize
 
-#: Letters that count, of a word and its end mark.
-REACH = 8
-#: Most that one document counts for one start of a word.
-DOC_CAP = 3
-DISCOUNT = 2.5
+#: Letters of a gram: one, and those before it in its word.
+ORDER = 7
+DISCOUNT = 0.75
 SHARED_DISCOUNT = 0.75
-BACKOFF = 50.0
-LETTERS = 40
-#: A word's log ratio counts by what it has beyond this; smaller ones are chance, and there are many.
-MARGIN = 1.0
-#: Starts of words that are broadcast, the most frequent first; the others are joined with.
-MODEL_ROWS = 1 << 19
+#: Kinds of letters that a text may go on with where nothing is known.
+LETTERS = 100
+#: Share of a toxic text's words that are from the toxic model.
+TOXIC_SHARE = 0.01
+#: Entries that are broadcast, 12 bytes each, the weightiest first; and words of 64 bits that tell of the others.
+HELD_ROWS = 1 << 19
+MAP_ROWS = 1 << 20
 #: Labelled rows left out of the counts: one of so many; and how many of them fit the calibration.
 CALIBRATION_SHARE = 8
 CALIBRATION_ROWS = 50_000
@@ -49,146 +52,208 @@ CALIBRATION_ROWS = 50_000
 CACHE_ROWS = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SEED = 42  # of Spark's xxhash64
+
+
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 @dataclass
 class Model:
-    """Log ratios of known starts of words, ratios of unknown letters after them, calibration.
-
-    If not all are held, ``table`` has the whole of them as (start, step, unseen) and ``more`` the held starts that
-    others follow which are not.
-    """
+    """Held entries by rising key, and calibration; if not all are held, the bit map of the others and the whole table."""
 
-    step: dict[str, float]
-    unseen: dict[str, float]
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     slope: float = 1.0
     shift: float = 0.0
     empty: bool = False
-    more: frozenset[str] = field(default_factory=frozenset)
+    others: np.ndarray | None = None
     table: DataFrame | None = None
 
 
-def starts(text: str | None) -> Counter:
-    """In how many of the text's words each start occurs."""
-    found: Counter = Counter()
-    for word, times in Counter(_WORD.findall((text or "").lower())).items():
-        word += "$"
-        for end in range(1, min(len(word), REACH) + 1):
-            found[word[:end]] += times
-    return found
-
-
-def _count_starts(labelled: DataFrame) -> DataFrame:
-    """(start, c0, c1): documents of each class, of rows (text, toxic)."""
+def _count_words(labelled: DataFrame) -> DataFrame:
+    """(word, c0, c1): occurrences in each class, of rows (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[Counter, Counter] = (Counter(), Counter())
 
         def emit() -> Iterator[pa.RecordBatch]:
             for label, counts in enumerate(held):
-                columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-                zeros = pa.array(np.zeros(len(counts), np.int64))
-                pair = [columns[1], zeros] if label == 0 else [zeros, columns[1]]
-                yield pa.RecordBatch.from_arrays([columns[0], *pair], ["start", "c0", "c1"])
+                own, zeros = pa.array(list(counts.values()), pa.int64()), pa.array(np.zeros(len(counts), np.int64))
+                pair = [own, zeros] if label == 0 else [zeros, own]
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *pair], ["word", "c0", "c1"])
                 counts.clear()
 
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-                counts = held[label]
-                for start, times in starts(text.as_py()).items():
-                    counts[start] += min(times, DOC_CAP)
-                if len(counts) > CACHE_ROWS:
+                held[label].update(words(text.as_py()))
+                if len(held[label]) > CACHE_ROWS:
                     yield from emit()
         yield from emit()
 
-    rows = labelled.mapInArrow(run, "start string, c0 long, c1 long")
-    return rows.groupBy("start").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    rows = labelled.mapInArrow(run, "word string, c0 long, c1 long")
+    return rows.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _spelled(word: Column) -> Column:
+    """The word's grams: each letter and the end mark with up to ORDER - 1 letters before, the start mark among them."""
+    whole = F.concat(F.lit("^"), word, F.lit("$"))
+    ends = F.sequence(F.lit(2), F.char_length(whole))
+    return F.transform(ends, lambda i: F.substring(whole, F.greatest(F.lit(1), i - (ORDER - 1)), F.least(i, F.lit(ORDER))))
+
+
+def _context(gram: str = "gram") -> Column:
+    return F.substring(gram, F.lit(1), F.char_length(gram) - 1)
+
+
+def _suffix(gram: str = "gram") -> Column:
+    return F.substring(gram, F.lit(2), F.char_length(gram))
+
 
+def _shorter(grams: DataFrame) -> DataFrame:
+    """(gram, low): probability of the last letter after the others, by continuation counts, of all proper suffixes."""
+    by_length, longer = {}, None
+    for length in range(ORDER, 0, -1):
+        own = grams.where(F.char_length("gram") == length).select("gram")
+        every = own if longer is None else own.unionByName(longer.select("gram")).distinct()
+        if longer is not None:
+            by_length[length] = longer
+        longer = materialize(every.select(_suffix().alias("gram")).groupBy("gram").agg(F.count("*").alias("k")))
+    known, low = [], None
+    for length in range(1, ORDER):
+        counts = by_length[length].withColumn("context", _context())
+        after = counts.groupBy("context").agg(F.sum("k").alias("total"), F.sum(F.least(F.col("k").cast("double"), F.lit(SHARED_DISCOUNT))).alias("freed"))
+        rows = counts.join(after, "context")
+        if low is None:
+            rows = rows.withColumn("less", F.lit(1.0 / LETTERS))
+        else:
+            rows = rows.withColumn("suffix", _suffix()).join(low.select(F.col("gram").alias("suffix"), F.col("low").alias("less")), "suffix")
+        low = materialize(rows.select("gram", ((F.greatest(F.col("k") - SHARED_DISCOUNT, F.lit(0.0)) + F.col("freed") * F.col("less")) / F.col("total")).alias("low")))
+        known.append(low)
+    every = known[0]
+    for part in known[1:]:
+        every = every.unionByName(part)
+    return every
 
-def _ratios(counts: DataFrame) -> DataFrame:
-    """(start, step, unseen, weight): what a known start adds, and an unknown letter after it."""
-    parent = F.substring("start", F.lit(1), F.length("start") - 1)
-    counts = counts.withColumn("before", parent).withColumn("both", F.col("c0") + F.col("c1"))
-    after = counts.groupBy("before").agg(
+
+def _entries(counts: DataFrame) -> DataFrame:
+    """(key, value, weight): log ratios of grams and, for letters not counted after them, of contexts.
+
+    Keys are hashes of ``g`` and the gram or ``c`` and the context. A gram whose counts are all discounted has its context's ratio and no entry.
+    """
+    total = counts.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")).first()
+    least = min(total["n0"], total["n1"])
+    each = counts.select(F.explode(_spelled(F.col("word"))).alias("gram"), *(F.col(f"c{k}") * F.lit(least / total[f"n{k}"]) for k in (0, 1))).toDF("gram", "c0", "c1")
+    grams = materialize(each.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).withColumn("context", _context()))
+    freed = lambda c, d: F.sum(F.least(c, F.lit(d)))
+    both = F.col("c0") + F.col("c1")
+    after = grams.groupBy("context").agg(
         *(F.sum(f"c{k}").alias(f"total{k}") for k in (0, 1)),
-        *(F.sum(F.least(F.col(f"c{k}").cast("double"), F.lit(DISCOUNT))).alias(f"freed{k}") for k in (0, 1)),
-        F.sum("both").alias("total"),
-        F.count("*").alias("kinds"),
+        *(freed(F.col(f"c{k}"), DISCOUNT).alias(f"freed{k}") for k in (0, 1)),
+        F.sum(both).alias("total"),
+        freed(both, SHARED_DISCOUNT).alias("freed"),
     )
-    kept = [(F.col(f"freed{k}") + BACKOFF) / (F.col(f"total{k}") + BACKOFF) for k in (0, 1)]
-    after = after.withColumn("unseen", F.ln(kept[1]) - F.ln(kept[0]))
-    known = counts.join(after.drop("unseen"), "before")
-    shared = (F.col("both") - SHARED_DISCOUNT + SHARED_DISCOUNT * F.col("kinds") / LETTERS) / F.col("total")
+    after = materialize(after)
+    low = _shorter(grams).select(F.col("gram").alias("suffix"), "low")
+    known = grams.where(F.greatest("c0", "c1") > DISCOUNT).join(after, "context").withColumn("suffix", _suffix()).join(low, "suffix")
+    shared = (F.greatest(both - SHARED_DISCOUNT, F.lit(0.0)) + F.col("freed") * F.col("low")) / F.col("total")
+    known = known.withColumn("shared", shared)
     likely = [
-        (F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + (F.col(f"freed{k}") + BACKOFF) * shared)
-        / (F.col(f"total{k}") + BACKOFF)
+        F.when(F.col(f"total{k}") > 0, (F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + F.col(f"freed{k}") * F.col("shared")) / F.col(f"total{k}")).otherwise(F.col("shared"))
         for k in (0, 1)
     ]
-    steps = known.where(F.greatest("c0", "c1") > DISCOUNT).select(
-        "start", (F.ln(likely[1]) - F.ln(likely[0])).alias("step"), "both"
-    )
-    follow = after.where("unseen != 0").select(F.col("before").alias("start"), "unseen", "total")
-    return steps.join(follow, "start", "full").select(
-        "start", "step", "unseen", F.coalesce("both", "total").alias("weight")
-    )
+    kept = [F.when(F.col(f"total{k}") > 0, F.col(f"freed{k}") / F.col(f"total{k}")).otherwise(1.0) for k in (0, 1)]
+    steps = known.select(F.xxhash64(F.concat(F.lit("g"), "gram")).alias("key"), (F.ln(likely[1]) - F.ln(likely[0])).alias("value"), F.greatest("c0", "c1").alias("most"))
+    unseen = after.select(F.xxhash64(F.concat(F.lit("c"), "context")).alias("key"), (F.ln(kept[1]) - F.ln(kept[0])).alias("value"), F.greatest("total0", "total1").alias("most"))
+    entries = steps.unionByName(unseen.where("value != 0"))
+    return entries.select("key", F.col("value").cast("float").alias("value"), F.floor(8 * F.log2("most")).cast("int").alias("weight"))
+
+
+def _held_model(entries: DataFrame) -> Model:
+    """Holds all entries from a weight on, as many as HELD_ROWS allow, and of the others a bit map and the table."""
+    least, taken = None, 0
+    for row in sorted(entries.groupBy("weight").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["weight"]):
+        if taken + row["n"] > HELD_ROWS:
+            least = row["weight"] + 1
+            break
+        taken += row["n"]
+    held = (entries if least is None else entries.where(F.col("weight") >= least)).select("key", "value").toArrow()
+    order = np.argsort(held.column("key").to_numpy())
+    model = Model(held.column("key").to_numpy()[order], held.column("value").to_numpy()[order])
+    if least is not None:
+        bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(key, 32), 64) as int))")
+        marks = entries.where(F.col("weight") < least).groupBy(F.pmod("key", F.lit(MAP_ROWS)).alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        model.others = np.zeros(MAP_ROWS, np.int64)
+        model.others[marks.column("place").to_numpy()] = marks.column("bits").to_numpy()
+        model.table = entries.select("key", "value")
+    return model
+
+
+def _word_values(found: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratio of each word by the held entries, and whether it may meet an entry that is not held."""
+    digest, names = xxhash.xxh64_intdigest, []
+    lengths = np.empty(len(found), np.int64)
+    for k, word in enumerate(found):
+        whole = f"^{word}$"
+        lengths[k] = len(whole) - 1
+        for end in range(2, len(whole) + 1):
+            gram = whole[max(0, end - ORDER) : end]
+            names.append(digest("g" + gram, _SEED))
+            names.append(digest("c" + gram[:-1], _SEED))
+    keys = np.array(names, np.uint64).view(np.int64)
+    place = np.searchsorted(model.keys, keys)
+    place[place == len(model.keys)] = 0
+    known = model.keys[place] == keys if len(model.keys) else np.zeros(len(keys), bool)
+    value = np.where(known, model.values[place] if len(model.keys) else 0.0, 0.0).astype(float)
+    step = np.where(known[0::2], value[0::2], value[1::2])
+    starts = np.cumsum(lengths) - lengths
+    ratios = np.add.reduceat(step, starts) if len(step) else np.zeros(0)
+    if model.others is None:
+        return ratios, np.zeros(len(found), bool)
+    met = (model.others[keys & (MAP_ROWS - 1)] >> ((keys >> 32) & 63)) & 1
+    return ratios, np.add.reduceat(met[0::2] + met[1::2], starts) > 0 if len(step) else np.zeros(0, bool)
+
+
+def word_score(ratio):
+    """What a word adds to the log-likelihood of a toxic text over an ordinary one, in shares of a toxic word."""
+    return np.log1p(TOXIC_SHARE * np.expm1(np.minimum(ratio, 500.0))) / TOXIC_SHARE
 
 
 def _scorer(model: Model):
-    cache: dict[str, float | tuple[float, int, float]] = {}
-    step, unseen, more = model.step, model.unseen, model.more
-
-    def of_word(word: str) -> float | tuple[float, int, float]:
-        spelled, total = word + "$", 0.0
-        for end in range(1, min(len(spelled), REACH) + 1):
-            known = step.get(spelled[:end])
-            if known is None:
-                stopped = unseen.get(spelled[: end - 1], 0.0)
-                if spelled[: end - 1] in more:
-                    return total, end, stopped
-                total += stopped
-                break
-            total += known
-        return max(total - MARGIN, 0.0) + min(total + MARGIN, 0.0)
-
-    def ratio(text: str | None) -> tuple[float, int, list[tuple]]:
-        """Sum of the words' log ratios, their number, and the words that lead beyond the held starts.
-
-        Of the latter: how often it occurs, the sum up to the first start that is not held, its
-        length, and what an unknown letter adds there.
-        """
-        found = _WORD.findall((text or "").lower())
-        total, rest = 0.0, []
-        for word, times in Counter(found).items():
-            value = cache.get(word)
-            if value is None:
-                if len(cache) > CACHE_ROWS:
-                    cache.clear()
-                value = cache[word] = of_word(word)
-            if isinstance(value, tuple):
-                rest.append((word, times, *value))
-            else:
-                total += times * value
-        return total, len(found), rest
-
-    return ratio
-
-
-def _word_values(words: DataFrame, table: DataFrame) -> DataFrame:
-    """(word, value) of words (word, held, length, stopped) by the whole table."""
-    spelled = F.concat("word", F.lit("$"))
-    lengths = F.sequence(F.col("length"), F.least(F.char_length(spelled), F.lit(REACH)))
-    each = words.withColumn("end", F.explode(lengths)).withColumn("start", F.substring(spelled, F.lit(1), F.col("end")))
-    met = each.join(table, "start", "left").groupBy("word", "held", "stopped")
-    steps = met.agg(F.sort_array(F.collect_list(F.struct("end", "step", "unseen"))).alias("steps"))
-
-    def on(state: Column, e: Column) -> Column:
-        known = state["going"] & e["step"].isNotNull()
-        total = state["total"] + F.when(known, e["step"]).when(state["going"], state["stopped"]).otherwise(0.0)
-        return F.struct(total.alias("total"), F.coalesce(e["unseen"], F.lit(0.0)).alias("stopped"), known.alias("going"))
-
-    start = F.struct(F.col("held").alias("total"), F.col("stopped").alias("stopped"), F.lit(True).alias("going"))
-    total = F.aggregate("steps", start, on, lambda state: state["total"])
-    return steps.select("word", total.alias("t")).select("word", (F.greatest(F.col("t") - MARGIN, F.lit(0.0)) + F.least(F.col("t") + MARGIN, F.lit(0.0))).alias("value"))
+    cache: dict[str, float | None] = {}
+
+    def score(texts: list[str | None]) -> list[tuple[float, int, list[tuple[str, int]]]]:
+        """Of each text the sum over words, their number, and the words whose entries are not all held."""
+        counted = [Counter(words(t)) for t in texts]
+        if len(cache) > CACHE_ROWS:
+            cache.clear()
+        missing = [w for w in set().union(*counted) if w not in cache]
+        for start in range(0, len(missing), 10_000):
+            chunk = missing[start : start + 10_000]
+            ratios, beyond = _word_values(chunk, model)
+            cache.update((w, None if b else v) for w, v, b in zip(chunk, word_score(ratios).tolist(), beyond))
+        out = []
+        for own in counted:
+            total, rest = 0.0, []
+            for word, times in own.items():
+                if (value := cache[word]) is None:
+                    rest.append((word, times))
+                else:
+                    total += times * value
+            out.append((total, own.total(), rest))
+        return out
+
+    return score
+
+
+def _joined_values(rest: DataFrame, table: DataFrame) -> DataFrame:
+    """(word, value) of words by the whole table."""
+    grams = rest.select("word", F.posexplode(_spelled(F.col("word"))).alias("place", "gram"))
+    keyed = grams.select("word", F.xxhash64(F.concat(F.lit("g"), "gram")).alias("key"), F.xxhash64(F.concat(F.lit("c"), _context())).alias("other"))
+    met = keyed.join(table, "key", "left").join(table.select(F.col("key").alias("other"), F.col("value").alias("unseen")), "other", "left")
+    ratio = met.groupBy("word").agg(F.sum(F.coalesce("value", "unseen", F.lit(0.0))).alias("r"))
+    return ratio.select("word", (F.log1p(TOXIC_SHARE * F.expm1(F.least("r", F.lit(500.0)))) / TOXIC_SHARE).alias("value"))
 
 
 def _text_key(text: Column) -> Column:
@@ -196,33 +261,34 @@ def _text_key(text: Column) -> Column:
 
 
 def _ratios_of(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` with their texts' key and x, the words' log ratios over the square root of their number, in place of text."""
+    """``rows`` with their texts' key and x, the difference of log-likelihoods over the number of words, in place of text."""
     shared = rows.sparkSession.sparkContext.broadcast(replace(model, table=None))
     carried = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = _scorer(shared.value)
+        score_texts = _scorer(shared.value)
         for batch in batches:
-            found = [ratio(t.as_py()) for t in batch.column("text")]
-            rest = [[dict(zip(("word", "times", "held", "length", "stopped"), w)) for w in r] for _, _, r in found]
-            kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64()), ("held", pa.float64()), ("length", pa.int32()), ("stopped", pa.float64())]))
-            columns = [pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array(rest, kind)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*carried, "_key")), *columns], [*carried, "_key", "_total", "_n", "_rest"])
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                found = score_texts([t.as_py() for t in part.column("text")])
+                rest = [[{"word": w, "times": n} for w, n in r] for _, _, r in found]
+                kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+                columns = [pa.array([t for t, _, _ in found], pa.float64()), pa.array([n for _, n, _ in found], pa.int64()), pa.array(rest, kind)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*carried, "_key")), *columns], [*carried, "_key", "_total", "_n", "_rest"])
 
     keyed = rows.withColumn("_key", _text_key(F.col("text")))
-    found = StructType.fromDDL("_total double, _n long, _rest array<struct<word:string,times:long,held:double,length:int,stopped:double>>")
+    found = StructType.fromDDL("_total double, _n long, _rest array<struct<word:string,times:long>>")
     schema = StructType([*(rows.schema[c] for c in carried), keyed.schema["_key"], *found.fields])
     parts = keyed.select(*carried, "text", "_key").mapInArrow(run, schema)
     total = F.col("_total")
     if model.table is not None:
         parts = materialize(parts)
         rest = parts.select("_key", F.explode("_rest").alias("w")).select("_key", "w.*").dropDuplicates(["_key", "word"])
-        words = rest.select("word", "held", "length", "stopped").dropDuplicates(["word"])
-        values = materialize(_word_values(words, model.table))
-        added = rest.join(small_side(values), "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("value")).alias("_added"))
+        values = materialize(_joined_values(rest.select("word").distinct(), model.table))
+        added = rest.join(small_side(values, 100_000), "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("value")).alias("_added"))
         parts = parts.join(added, "_key", "left")
         total = total + F.coalesce("_added", F.lit(0.0))
-    return parts.select(*carried, "_key", F.when(F.col("_n") > 0, total / F.sqrt("_n")).otherwise(0.0).alias("x"))
+    return parts.select(*carried, "_key", F.when(F.col("_n") > 0, total / F.col("_n")).otherwise(0.0).alias("x"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -249,29 +315,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataF
     )
 
 
-def _held_model(ratios: DataFrame) -> Model:
-    """Holds the most frequent starts of the table, and the table too if there are more."""
-    head = ratios.orderBy(F.desc("weight"), "start").limit(MODEL_ROWS).toArrow()
-    names = head.column("start").to_pylist()
-    model = Model(*({k: v for k, v in zip(names, head.column(c).to_pylist()) if v is not None} for c in ("step", "unseen")))
-    if ratios.count() <= len(names):
-        return model
-    least = head.column("weight")[-1].as_py()
-    held = (F.col("weight") > least) | (F.col("weight") == least) & (F.col("start") <= names[-1])
-    before = F.substring("start", F.lit(1), F.length("start") - 1).alias("start")
-    followed = ratios.where(held).select("start").join(ratios.where(~held & F.col("step").isNotNull()).select(before).distinct(), "start", "left_semi")
-    model.more = frozenset(followed.toArrow().column("start").to_pylist())
-    model.table = ratios.where(~held).select("start", "step", "unseen")
-    return model
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from all labelled rows whose crc32(doc_id) mod 5 is not 0, counts by Spark."""
     rows = labelled_rows(docs, labels, crc_remainder(F.col("doc_id"), 5) == 0)
-    counts = materialize(_count_starts(rows.where("not calibrates").select("text", "toxic")))
+    counts = materialize(_count_words(rows.where("not calibrates").select("text", "toxic")))
     if not counts.where("c1 > 0").head(1) or not counts.where("c0 > 0").head(1):
-        return Model({}, {}, empty=True)
-    model = _held_model(materialize(_ratios(counts)))
+        return Model(empty=True)
+    model = _held_model(materialize(_entries(counts)))
     aside = rows.where("calibrates")
     share = min(1.0, CALIBRATION_ROWS / max(aside.count(), 1))
     chosen = aside.where(F.col("place") < int(share * (1 << 20)))
@@ -301,7 +351,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are, whatever their names.
+
+    Null, empty and letterless texts have the score of a text that says nothing. Repeated rows stay
+    repeated or go together. An empty table gives an empty result.
+    """
     scored = _scored(docs.select(F.col("text").cast("string").alias("text")), model)
     toxic = materialize(scored.where(F.col("score") >= threshold).select(F.col("_key").alias("_toxic_key")).distinct())
     return docs.join(small_side(toxic), _text_key(docs["text"]) == toxic["_toxic_key"], "left_anti")

@@ -86,7 +86,7 @@ def test_toxicity_of_held_out_documents(spark):
     got = out.dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id").join(labels.toPandas().set_index("doc_id"), how="inner")
     held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").select("doc_id").toPandas().doc_id
     got = got[got.index.isin(held)]
-    assert auc(got.score.to_numpy(), got.toxic.to_numpy()) > 0.93
+    assert auc(got.score.to_numpy(), got.toxic.to_numpy()) > 0.96
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == (out.score < 0.5).sum()
     none = toxicity.fit(docs, labels.where("toxic = 0"))
@@ -94,26 +94,92 @@ def test_toxicity_of_held_out_documents(spark):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
-def test_scores_do_not_depend_on_the_starts_that_are_held(spark, monkeypatch):
+def brute_ratios(rows, asked):
+    """Log ratio of every asked word by the two models, in plain Python, from rows (text, toxic)."""
+    order = toxicity.ORDER
+    counts = [Counter(w for t, y in rows if y == k for w in toxicity.words(t)) for k in (0, 1)]
+    totals = [sum(c.values()) for c in counts]
+    grams = [Counter(), Counter()]
+    spell = lambda w: [f"^{w}$"[max(0, e - order) : e] for e in range(2, len(w) + 3)]
+    for k in (0, 1):
+        for w, n in counts[k].items():
+            for g in spell(w):
+                grams[k][g] += n * min(totals) / totals[k]
+    every = {n: {g for g in {*grams[0], *grams[1]} if len(g) == n} for n in range(1, order + 1)}
+    follow = Counter()
+    for n in range(order, 1, -1):
+        for g in every[n]:
+            follow[g[1:]] += 1
+        every[n - 1] |= {g[1:] for g in every[n]}
+
+    def shared(counted, gram, less, discount=toxicity.SHARED_DISCOUNT):
+        after = [n for g, n in counted.items() if g[:-1] == gram[:-1] and len(g) == len(gram)]
+        return (max(counted.get(gram, 0) - discount, 0) + sum(min(n, discount) for n in after) * less) / sum(after)
+
+    def low(gram):
+        return shared(follow, gram, low(gram[1:])) if gram else 1 / toxicity.LETTERS
+
+    def step(gram):
+        both = {g: grams[0][g] + grams[1][g] for g in {*grams[0], *grams[1]}}
+        logs = []
+        known = gram in both
+        for k in (0, 1):
+            after = [n for g, n in grams[k].items() if g[:-1] == gram[:-1] and len(g) == len(gram)]
+            # the shared probability of a letter that neither class has after the context is the same in both
+            base = shared(both, gram, low(gram[1:])) if known else 1.0
+            freed = sum(min(n, toxicity.DISCOUNT) for n in after)
+            logs.append(np.log((max(grams[k][gram] - toxicity.DISCOUNT, 0) + freed * base) / sum(after)) if after else np.log(base))
+        return logs[1] - logs[0]
+
+    return {w: sum(step(g) for g in spell(w)) for w in asked}
+
+
+LABELLED = [
+    ("you utter blockheadish fool fool", 1), ("blockheadish blockheadish blockheadish talk again", 1), ("what a fool of a fool, a fool", 1),
+    ("blockheaded staff of the old house", 0), ("the old house and the old tree", 0), ("the staff of the house talk", 0), ("what a tree, what a house", 0),
+    ("Été à la maison", 0), (None, 1), ("", 0), ("数据数据库很好 数据", 0), ("数据数据库很坏 数据", 1),
+]
+
+
+def test_toxicity_by_brute_force(spark):
+    rows = spark.createDataFrame(LABELLED, "text string, toxic int")
+    model = toxicity._held_model(toxicity._entries(toxicity._count_words(rows)))
+    texts = ["you fool", "blockheadish", "blockheaded", "the old house", "unheard", "数据数据库很坏", "fools of a house", "blockheadish fool of the blockheaded tree", "x" * 40]
+    asked = sorted({w for t in texts for w in toxicity.words(t)})
+    want = brute_ratios(LABELLED, asked)
+    ratios, beyond = toxicity._word_values(asked, model)
+    assert not beyond.any() and np.allclose(ratios, [want[w] for w in asked], atol=1e-4)
+    # words that differ after the eighth letter, and an unknown ending of a known stem
+    assert want["blockheadish"] > want["blockheaded"] + 0.1 and want["fool"] > want["fools"] > want["house"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    share = toxicity.TOXIC_SHARE
+    for k, text in enumerate(texts):
+        found = toxicity.words(text)
+        x = np.mean([np.log(1 + share * (np.exp(want[w]) - 1)) / share for w in found])
+        assert abs(got[k] - 1 / (1 + np.exp(-np.clip(x, -30, 30)))) < 1e-3
+
+
+def test_scores_do_not_depend_on_the_entries_that_are_held(spark, monkeypatch):
     docs, labels = odd(spark, table(spark, FOLDER, "documents")), table(spark, FOLDER, "labels")
 
     def result():
         model = toxicity.fit(docs, labels)
         scored = toxicity.score(docs, model).orderBy("doc_id", "score").collect()
         kept = sorted(r.doc_id or 0 for r in toxicity.drop_toxic(docs, model).select("doc_id").collect())
-        return len(model.step), [r.doc_id for r in scored], np.array([r.score for r in scored]), kept
+        return len(model.keys), [r.doc_id for r in scored], np.array([r.score for r in scored]), kept
 
     whole = result()
-    monkeypatch.setattr(toxicity, "MODEL_ROWS", 700)
+    monkeypatch.setattr(toxicity, "HELD_ROWS", 3000)
     few = result()
-    assert few[0] <= 700 < whole[0] and few[1] == whole[1] and few[3] == whole[3]
-    assert np.allclose(few[2], whole[2], atol=1e-9)
+    assert few[0] <= 3000 < whole[0] and few[1] == whole[1] and few[3] == whole[3]
+    assert np.allclose(few[2], whole[2], atol=1e-4)
 
 
-def test_start_counts_are_per_document(spark):
-    rows = [("Bad bad bad bad worse", 1), ("bad", 0), (None, 1), ("", 0)]
-    found = {r.start: (r.c0, r.c1) for r in toxicity._count_starts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
-    assert found["bad$"] == (1, toxicity.DOC_CAP) and found["w"] == (0, 1) and found["b"] == (1, toxicity.DOC_CAP)
+def test_word_counts(spark):
+    rows = [("Bad bad bad-worse", 1), ("bad", 0), (None, 1), ("", 0)]
+    found = {r.word: (r.c0, r.c1) for r in toxicity._count_words(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    assert found == {"bad": (1, 3), "worse": (0, 1)}
 
 
 def test_token_counts_match_the_tokenizer(spark):
