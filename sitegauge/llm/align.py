@@ -1,10 +1,10 @@
 """Tokens of two tokenizers over the same text, aligned where both end.
 
-A is a byte-level BPE file, B a sentencepiece file. A's character offsets and the byte spans of B's
-protobuf output are the coarse cuts: places where a token of A and a token of B end together. Neither
+A is a byte-level BPE file, B a sentencepiece file. The character offsets of A's tokens and the spans of
+B's are the coarse cuts: places where a token of A and a token of B end together. Neither
 tells the bytes inside a character that a tokenizer splits: all of A's parts of one claim the whole
-character, and of B's byte tokens only the last has a width. So a coarse group with more than ASCII or
-with byte tokens is cut further where the decoded bytes of both tokenizers end together.
+character, and of B's byte tokens only the last has a width. So a segment with more than ASCII or
+with byte tokens is cut where the decoded bytes of both tokenizers end together.
 
 A text is aligned in segments, cut before every single space between two other characters. No token of
 either vocabulary goes on over such a place (``Aligner`` looks; if one does, texts stay whole), so
@@ -17,10 +17,9 @@ documents hold are broadcast, up to a bound; the others are joined with, so ever
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,12 @@ from sitegauge.llm import workers
 from sitegauge.session import materialize, scratch_path
 
 #: Segments that a worker process keeps, and the longest of them in characters.
-CACHE_ROWS = 150_000
+CACHE_ROWS = 300_000
 LONGEST_KEPT = 48
 #: Characters of texts whose segments are looked up together.
 BATCH_CHARS = 1 << 20
+#: Characters of segments that are aligned together.
+SEGMENT_CHARS = 1 << 16
 #: Id pairs that are broadcast, 17 bytes each; the others are joined with.
 HEAD_ROWS = 1 << 20
 
@@ -58,57 +59,73 @@ class Aligner:
         letters = byte_alphabet()
         self.a_bytes = {i: bytes(letters.get(c, 0x3F) for c in entry) for entry, i in self.a.get_vocab().items()}
         names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_single = {i for i in range(len(names)) if self.b.is_byte(i)}
-        self.b_bytes = [bytes([int(n[3:5], 16)]) if i in self.b_single else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.b_single = np.array([self.b.is_byte(i) for i in range(len(names))])
+        self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b_single[i] else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.a_lengths = np.zeros(max(self.a_bytes) + 1, np.int64)
+        for i, own in self.a_bytes.items():
+            self.a_lengths[i] = len(own)
+        self.b_lengths = np.array([len(own) for own in self.b_bytes])
         self.width = len(names)
         self.cuts = not any(_CROSSES.search(n) for n in names)
         self.kept: dict[str, tuple | None] = {}
 
-    def groups(self, segment: str, a, b) -> list[tuple[list[int], list[int]]] | None:
-        """Groups of A's and B's ids, from A's encoding of the segment and B's of it without its first space; None if bytes differ."""
-        ids_a, pieces_b = a.ids, b.pieces
-        ids_b = [p.id for p in pieces_b]
-        raw = segment.encode("utf-8")
-        parts_a, parts_b = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        ascii_only = len(raw) == len(segment)
-        at = range(len(segment) + 1) if ascii_only else [0, *accumulate(len(c.encode("utf-8")) for c in segment)]
-        last_a = {at[end]: k + 1 for k, (_, end) in enumerate(a.offsets)}
-        first_b: dict[int, int] = {}
-        for k, p in enumerate(pieces_b):
-            first_b.setdefault(p.end + 1, k + 1)
-        ends_a, ends_b = [0, *accumulate(map(len, parts_a))], [0, *accumulate(map(len, parts_b))]
-        coarse = [(i, j) for end, i in sorted(last_a.items()) if (j := first_b.get(end)) and ends_a[i] == ends_b[j] == end]
-        if not coarse or coarse[-1] != (len(ids_a), len(ids_b)):
-            coarse.append((len(ids_a), len(ids_b)))
-        exact = ascii_only and [end for _, end in a.offsets] == ends_a[1:]
-        found, i, j = [], 0, 0
-        for upto_a, upto_b in coarse:
-            plain = exact and self.b_single.isdisjoint(ids_b[j:upto_b])
-            if not plain and upto_a - i > 1 and upto_b - j > 1:
-                inner = {end: k for k, end in enumerate(ends_b[j + 1 : upto_b], j + 1)}
-                for k in range(i + 1, upto_a):
-                    if (m := inner.get(ends_a[k])) is not None:
-                        found.append((ids_a[i:k], ids_b[j:m]))
-                        i, j = k, m
-            found.append((ids_a[i:upto_a], ids_b[j:upto_b]))
-            i, j = upto_a, upto_b
-        return found
-
-    def _facts(self, found: list[tuple[list[int], list[int]]] | None) -> tuple | None:
-        """Counts, group text, distinct id pairs and how often each is linked."""
-        if found is None:
-            return None
-        times: Counter = Counter()
-        for ids_a, ids_b in found:
-            in_b = Counter(ids_b).items()
-            for one, n in Counter(ids_a).items():
-                for other, m in in_b:
-                    times[one * self.width + other] += n * m
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found)
-        counts = (sum(len(x) for x, _ in found), sum(len(y) for _, y in found), len(found), sum(len(x) * len(y) for x, y in found))
-        return counts, text, np.fromiter(times, np.int64, len(times)), np.fromiter(times.values(), np.int64, len(times))
+    def _facts(self, segments: list[str]) -> Iterator[tuple | None]:
+        """Of each segment counts, group text and linked id pairs; None where the tokens' bytes are not its own.
+
+        Segments are worked on together, their tokens one after the other in flat arrays; ends are places in
+        the bytes of all.
+        """
+        spaced = [" " + s for s in segments]
+        raw = [s.encode("utf-8") for s in spaced]
+        coded_a = self.a.encode_batch(spaced, add_special_tokens=False)
+        coded_b = self.b.encode(segments, return_type="offset_mapping", num_threads=1)
+        sides = []
+        for ids, spans, table, lengths, shift in (
+            ([e.ids for e in coded_a], [e.offsets for e in coded_a], self.a_bytes, self.a_lengths, 0),
+            ([e["ids"] for e in coded_b], [e["offsets"] for e in coded_b], self.b_bytes, self.b_lengths, 1),
+        ):
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
+            same = np.array([b"".join(map(table.__getitem__, i)) == r for i, r in zip(ids, raw)])
+            span_ends = np.fromiter((e for own in spans for _, e in own), np.int64, len(flat)) + shift
+            sides.append((sizes, flat, np.repeat(np.arange(len(ids)), sizes), same, span_ends, np.cumsum(lengths[flat])))
+        good = sides[0][3] & sides[1][3]
+        if not good.all():
+            rest = self._facts([s for s, fine in zip(segments, good.tolist()) if fine])
+            yield from (next(rest) if fine else None for fine in good.tolist())
+            return
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        in_bytes = np.zeros(len(segments), bool)
+        in_bytes[sides[1][2][self.b_single[sides[1][1]]]] = True
+        plain = ~in_bytes & np.fromiter((len(r) == len(s) for r, s in zip(raw, spaced)), bool, len(raw))
+        # the spans are the coarse cuts; multibyte characters and byte tokens are refined by decoded bytes
+        ends = [np.where(plain[of], starts[of] + spans, decoded) for _, _, of, _, spans, decoded in sides]
+        group_of = []
+        for k in (0, 1):
+            cut = np.isin(ends[k], ends[1 - k])
+            group_of.append(np.concatenate([[0], np.cumsum(cut)[:-1]]))
+        (sizes_a, ids_a, seg_a, *_), (sizes_b, ids_b, seg_b, *_) = sides
+        groups = int(group_of[0][-1]) + 1
+        n_a, n_b = (np.bincount(g, minlength=groups) for g in group_of)
+        # every A token with every B token of its group
+        many = n_b[group_of[0]]
+        first = (np.cumsum(n_b) - n_b)[group_of[0]]
+        links = np.repeat(ids_a, many) * self.width + ids_b[np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        links_of = np.bincount(seg_a, weights=many, minlength=len(segments)).astype(np.int64)
+        groups_of = np.bincount(seg_a[np.cumsum(n_a) - 1], minlength=len(segments))
+        # the text, by group and A before B: each id with what follows it
+        side = np.concatenate([np.zeros(len(ids_a), np.int64), np.ones(len(ids_b), np.int64)])
+        order = np.argsort(np.concatenate(group_of) * 2 + side, kind="stable")
+        group, side, of = np.concatenate(group_of)[order], side[order], np.concatenate([seg_a, seg_b])[order]
+        after = np.full(len(order), 0)  # a comma
+        after[:-1] = np.where(of[1:] != of[:-1], 3, np.where(group[1:] != group[:-1], 2, side[1:] - side[:-1]))
+        after[-1] = 3
+        ids = map(str, np.concatenate([ids_a, ids_b])[order].tolist())
+        texts = "".join(chain.from_iterable(zip(ids, map(",|;\n".__getitem__, after.tolist())))).split("\n")
+        at = 0
+        for counts, text in zip(zip(sizes_a.tolist(), sizes_b.tolist(), groups_of.tolist(), links_of.tolist()), texts):
+            yield counts, text, links[at : at + counts[3]].copy()
+            at += counts[3]
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """(counts, group text, pairs, times) of each text; None without tokens."""
@@ -119,12 +136,9 @@ class Aligner:
         for k, segment in enumerate(missing):
             chunk.append(segment)
             held += len(segment)
-            if len(chunk) < workers.ENCODED_AT_ONCE and held < BATCH_CHARS and k < len(missing) - 1:
+            if len(chunk) < workers.ENCODED_AT_ONCE and held < SEGMENT_CHARS and k < len(missing) - 1:
                 continue
-            coded_a = self.a.encode_batch([" " + s for s in chunk], add_special_tokens=False)
-            coded_b = self.b.encode(chunk, return_type="proto", num_threads=1)
-            for s, a, b in zip(chunk, coded_a, coded_b):
-                kept[s] = self._facts(self.groups(" " + s, a, b))
+            kept.update(zip(chunk, self._facts(chunk)))
             held, chunk = 0, []
         out: list[tuple | None] = []
         for segments in cut:
@@ -132,10 +146,8 @@ class Aligner:
             if not facts or None in facts:
                 out.append(None)
                 continue
-            pairs, place = np.unique(np.concatenate([f[2] for f in facts]), return_inverse=True)
-            times = np.bincount(place, weights=np.concatenate([f[3] for f in facts])).astype(np.int64)
-            counts = np.array([f[0] for f in facts]).sum(axis=0).tolist()
-            out.append((counts, ";".join([f[1] for f in facts]), pairs, times))
+            pairs, times = np.unique(np.concatenate([f[2] for f in facts]), return_counts=True)
+            out.append(([sum(c) for c in zip(*(f[0] for f in facts))], ";".join([f[1] for f in facts]), pairs, times))
         for s in missing:
             if len(s) > LONGEST_KEPT:
                 del kept[s]
