@@ -693,9 +693,13 @@ def pair_scope(pairs: DataFrame, sources: DataFrame, scope: str = "all") -> Data
 _NEIGHBOURS = "site_id string, rep string, urls array<string>, distance double"
 
 
-def _nearest_kernel(limit: int):
+def _nearest_kernel(limit: int, metric: str = "cosine"):
+    measure = B.euclidean if metric == "euclid" else B.cosine
+
     def kernel(table: pa.Table) -> pa.Table:
-        values = B.unit_rows(B.matrix(table, "embedding"))
+        values = B.matrix(table, "embedding")
+        if metric == "cosine":
+            values = B.unit_rows(values)
         rank = _order_of(table.column("rep"))
         group = table.column("grp").to_numpy()
         diagonal = B.is_diagonal(table)
@@ -710,7 +714,7 @@ def _nearest_kernel(limit: int):
                 continue
             for start in range(0, len(queries), B.TILE_ROWS):
                 rows = queries[start : start + B.TILE_ROWS]
-                exact = B.cosine(values[rows], values[targets])
+                exact = measure(values[rows], values[targets])
                 distance = np.round(exact, RANK_DIGITS)
                 if len(targets) > limit:
                     last = np.partition(distance, limit - 1, axis=1)[:, limit - 1]
@@ -737,16 +741,16 @@ def _nearest_kernel(limit: int):
 
 
 def nearest_pages(
-    vectors: DataFrame, dimensions: int, k: int = 15, group_rows: int | None = None
+    vectors: DataFrame, dimensions: int, k: int = 15, group_rows: int | None = None, metric: str = "cosine"
 ) -> DataFrame:
-    """The k nearest other pages of every page by cosine distance.
+    """The k nearest other pages of every page by cosine distance, or with *metric* "euclid".
 
     Copies share one search: each distinct vector finds its k + 1 nearest distinct
     vectors (itself among them), which stand for at least its pages' k nearest.
     """
     groups = listed_copies(vectors, k + 1)
     cells = _cells(groups, vectors, dimensions, group_rows)
-    local = B.run_cells(cells, _nearest_kernel(k + 1), _NEIGHBOURS)
+    local = B.run_cells(cells, _nearest_kernel(k + 1, metric), _NEIGHBOURS)
     order = F.round("distance", RANK_DIGITS)
     by_group = Window.partitionBy("site_id", "rep").orderBy(order, F.col("urls")[0])
     by_page = Window.partitionBy("site_id", "rep").orderBy(order, "neighbour")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from sitegauge.operators import blocks as B
 from sitegauge.operators.lookups import attach_by_site
 from sitegauge.operators.pairs import mean_vectors, nearest_pages
-from sitegauge.session import materialize
+from sitegauge.operators.sparse import nearest_by_terms, sparse_pca
+from sitegauge.session import materialize, scratch_path
 
 PCA_COMPONENTS = 50
 SEED = 42
@@ -137,10 +138,10 @@ class LayoutStyle:
 
     a: float
     b: float
-    rounds: int = 12
+    # a bound only: a site's layout ends when a round moves its pages by less than ``still`` on average
+    rounds: int = 200
     repulsion: float = 5.0
     bucket_rows: int = 128
-    # a layout is done when a round moves its pages by less than this on average
     still: float = 0.02
 
 
@@ -198,17 +199,16 @@ def _calibrated(method: str, perplexity: float):
     return weights
 
 
-def neighbour_graph(
-    vectors: DataFrame,
-    dimensions: int,
-    method: str = "umap",
-    neighbours: int = 15,
-    perplexity: float = 30.0,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """Symmetric weighted edges ``site_id, url, neighbour, w``, both directions present."""
-    k = neighbours if method == "umap" else int(3 * perplexity)
-    found = nearest_pages(vectors, dimensions, k, group_rows).groupBy("site_id", "url").agg(
+def neighbours_wanted(method: str, neighbours: int, perplexity: float) -> int:
+    return neighbours if method == "umap" else int(3 * perplexity)
+
+
+def neighbour_graph(nearest: DataFrame, method: str = "umap", perplexity: float = 30.0) -> DataFrame:
+    """Symmetric weighted edges ``site_id, url, neighbour, w``, both directions present.
+
+    *nearest* has every page's nearest ones: ``site_id, url, rank, neighbour, distance``.
+    """
+    found = nearest.groupBy("site_id", "url").agg(
         F.array_sort(F.collect_list(F.struct("rank", "distance", "neighbour"))).alias("found")
     )
     weighted = found.withColumn(
@@ -227,69 +227,81 @@ def neighbour_graph(
     return both.groupBy("site_id", "url", "neighbour").agg(union.alias("w"))
 
 
-def _repel(style: LayoutStyle):
+# Pages up to which a site's whole layout runs in one task.
+LOCAL_PAGES = 4096
+
+
+def _push(p: np.ndarray, style: LayoutStyle) -> np.ndarray:
     """Mean push of the other pages of a random bucket: a sample of the whole site."""
+    gap = p[..., :, None, :] - p[..., None, :, :]
+    square = (gap**2).sum(axis=-1)
+    push = 2 * style.b / ((0.001 + square) * (1 + style.a * square**style.b))
+    return np.clip(push[..., None] * gap, -4, 4).sum(axis=-2) / max(1, p.shape[-2] - 1)
+
 
+def _repel(style: LayoutStyle):
     def kernel(table: pa.Table) -> pa.Table:
-        p = B.matrix(table, "pos")
-        gap = p[:, None, :] - p[None, :, :]
-        square = (gap**2).sum(axis=2)
-        push = 2 * style.b / ((0.001 + square) * (1 + style.a * square**style.b))
-        force = np.clip(push[:, :, None] * gap, -4, 4).sum(axis=1) / max(1, len(p) - 1)
-        return _projected(table, force)
+        return _projected(table, _push(B.matrix(table, "pos"), style))
 
     return kernel
 
 
-def neighbour_map(
-    vectors: DataFrame,
-    dimensions: int,
-    components: int = 2,
-    method: str = "umap",
-    neighbours: int = 15,
-    perplexity: float = 30.0,
-    rounds: int | None = None,
-    lone_pages: bool = False,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """A layout of every site that keeps neighbours together: ``site_id, url, coords``.
-
-    Starts from principal components. Each round pulls along the edges of the neighbour
-    graph and pushes away from a fresh random bucket of the site's pages; both are joins
-    and bounded groups, so a site may be of any size. Positions are checkpointed every
-    round, which keeps the plan short and survives lost executors. The rounds end early once pages
-    hardly move. Sites of one page give
-    no row, or the origin with *lone_pages*.
-    """
-    if method not in STYLES:
-        raise ValueError("method must be 'umap' or 'tsne'")
-    style = STYLES[method]
-    rounds = rounds or style.rounds
-    sizes = vectors.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-    graph = neighbour_graph(vectors, dimensions, method, neighbours, perplexity, group_rows)
-    edges = materialize(graph.repartition("site_id", "url"))
+def _pull(gap: np.ndarray, w: np.ndarray, style: LayoutStyle) -> np.ndarray:
+    square = (gap**2).sum(axis=1)
+    apart = np.where(square > 0, square, 1.0)
+    pull = -2 * style.a * style.b * apart ** (style.b - 1) / (1 + style.a * apart**style.b)
+    return w[:, None] * np.clip(np.where(square > 0, pull, 0.0)[:, None] * gap, -4, 4)
+
+
+def settle(p: np.ndarray, one: np.ndarray, other: np.ndarray, w: np.ndarray, style: LayoutStyle, rounds: int) -> tuple[np.ndarray, int]:
+    """Positions of one site's pages after they hardly move, and the rounds that took."""
+    n, width = p.shape
+    degree = np.maximum(np.bincount(one, weights=w, minlength=n), 1e-9)[:, None]
+    rng = np.random.default_rng(SEED)
+    for done in range(rounds):
+        force = _pull(p[one] - p[other], w, style)
+        moved = np.stack([np.bincount(one, weights=force[:, i], minlength=n) for i in range(width)], axis=1) / degree
+        order = rng.permutation(n)
+        buckets = -(-n // style.bucket_rows)
+        share, more = divmod(n, buckets)
+        # buckets of two sizes, one apart
+        for rows in (order[: more * (share + 1)].reshape(more, share + 1), order[more * (share + 1) :].reshape(buckets - more, share)):
+            if rows.size:
+                moved[rows] += style.repulsion * _push(p[rows], style)
+        step = (1 - done / rounds) * moved
+        p = p + step
+        if np.abs(step).sum(axis=1).mean() < style.still:
+            break
+    return p, done + 1
 
-    start = attach_by_site(pca(vectors, dimensions, components, group_rows), sizes)
-    spread = start.groupBy("site_id").agg(
-        F.max(F.array_max(F.transform("coords", F.abs))).alias("widest")
-    )
-    scale = F.when(F.col("widest") > 0, 10 / F.col("widest")).otherwise(1.0)
-    # a reproducible jitter parts copies, which would otherwise stay on one spot
-    positions = materialize(
-        attach_by_site(start.filter(F.col("n") > 1), spread).select(
-            "site_id",
-            "url",
-            "n",
-            F.lit(1.0).alias("rate"),
-            F.lit(SEED).alias("seed"),
-            F.transform(
-                "coords",
-                lambda c, i: c * scale
-                + (F.pmod(F.xxhash64("url", i, F.lit(SEED)), F.lit(2001)) - 1000) * 1e-6,
-            ).alias("pos"),
-        )
-    )
-    for _ in range(rounds):
+
+def _settle_site(style: LayoutStyle, rounds: int):
+    def kernel(pages: pa.Table, edges: pa.Table) -> pa.Table:
+        urls = pages.column("url").to_pylist()
+        order = sorted(range(len(urls)), key=urls.__getitem__)
+        pages = pages.take(pa.array(order, pa.int64()))
+        place = {urls[i]: k for k, i in enumerate(order)}
+        one, other = (np.array([place[u] for u in edges.column(c).to_pylist()], np.int64) for c in ("url", "neighbour"))
+        found, done = settle(B.matrix(pages, "pos"), one, other, edges.column("w").to_numpy(), style, rounds) if urls else (np.zeros((0, 1)), 0)
+        return _projected(pages, found).append_column("rounds", pa.array([done] * len(pages), pa.int32()))
+
+    return kernel
+
+
+def _settled_apart(positions: DataFrame, edges: DataFrame, components: int, style: LayoutStyle, rounds: int) -> list[DataFrame]:
+    """Layouts of sites too big for a task: every round is a few joins over the sites that still move.
+
+    Positions are checkpointed every round, which keeps the plan short and survives lost executors. A
+    site whose pages hardly move is written and leaves the job; edges are cut to the sites left once half of the pages are gone.
+    """
+    spark = positions.sparkSession
+    left, held, settled = positions.count(), 0, []
+    for done in range(rounds):
+        if not left:
+            break
+        if not held or left * 2 <= held:
+            sites = positions.select("site_id").distinct()
+            edges, held = materialize(attach_by_site(edges, sites).repartition("site_id", "url")), left
         # step size and bucket seed are data, not literals: every round then runs the
         # very same generated code
         there = positions.select("site_id", F.col("url").alias("neighbour"), F.col("pos").alias("other"))
@@ -336,7 +348,7 @@ def neighbour_map(
             ]
         )
         # a round reads the positions four times, so each round is materialised
-        positions = materialize(
+        after = materialize(
             positions.join(pulls, ["site_id", "url"], "left")
             .join(pushes, ["site_id", "url"], "left")
             .select(
@@ -349,16 +361,135 @@ def neighbour_map(
                 F.aggregate(F.zip_with("pos", moved, lambda p, q: F.abs(q - p)), F.lit(0.0), lambda s, d: s + d).alias("step"),
             )
         )
-        if (positions.agg(F.avg("step")).first()[0] or 0.0) < style.still:
-            break
-    laid_out = positions.select("site_id", "url", F.col("pos").alias("coords"))
+        movement = after.groupBy("site_id").agg(F.avg("step").alias("movement"))
+        still = movement.filter((F.col("movement") < style.still) | F.lit(done == rounds - 1)).select("site_id")
+        positions = after.drop("step")
+        if still.isEmpty():
+            continue
+        path = scratch_path(spark, "settled")
+        at_rest = attach_by_site(positions, still).select("site_id", "url", F.col("pos").alias("coords"), F.lit(done + 1).alias("rounds"))
+        at_rest.write.parquet(path)
+        settled.append(spark.read.parquet(path))
+        moving = attach_by_site(positions, movement.join(still, "site_id", "left_anti").select("site_id"))
+        positions = materialize(moving)
+        left = positions.count()
+    return settled
+
+
+def layout(
+    start: DataFrame,
+    graph: DataFrame,
+    components: int = 2,
+    method: str = "umap",
+    rounds: int | None = None,
+    local_pages: int | None = None,
+) -> DataFrame:
+    """A layout of every site that keeps neighbours together: ``site_id, url, coords, rounds``.
+
+    Starts from *start* (``site_id, url, coords``). Each round pulls along the edges of *graph* and pushes
+    away from a fresh random bucket of the site's pages, with steps that shrink. Each site ends by its own
+    movement, or after the bound of rounds; ``rounds`` says how many it took. A site of at most *local_pages*
+    pages runs in one task; a bigger one in joins and bounded groups, so it may be of any size. A
+    single page gets no row.
+    """
+    if method not in STYLES:
+        raise ValueError("method must be 'umap' or 'tsne'")
+    style = STYLES[method]
+    rounds = rounds or style.rounds
+    local_pages = LOCAL_PAGES if local_pages is None else local_pages
+    spread = start.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("coords", F.abs))).alias("widest")
+    )
+    scale = F.when(F.col("widest") > 0, 10 / F.col("widest")).otherwise(1.0)
+    # a reproducible jitter parts copies, which would otherwise stay on one spot
+    positions = materialize(
+        attach_by_site(start, spread).filter(F.col("n") > 1).select(
+            "site_id",
+            "url",
+            "n",
+            F.lit(1.0).alias("rate"),
+            F.lit(SEED).alias("seed"),
+            F.transform(
+                "coords",
+                lambda c, i: c * scale
+                + (F.pmod(F.xxhash64("url", i, F.lit(SEED)), F.lit(2001)) - 1000) * 1e-6,
+            ).alias("pos"),
+        )
+    )
+    edges = materialize(graph)
+    small = positions.filter(F.col("n") <= local_pages)
+    sites = small.select("site_id").distinct()
+    inner = attach_by_site(edges, sites).groupBy("site_id")
+    whole = small.select("site_id", "url", "pos").groupBy("site_id").cogroup(inner)
+    parts = [whole.applyInArrow(_settle_site(style, rounds), _COORDS + ", rounds int")]
+    parts += _settled_apart(positions.filter(F.col("n") > local_pages), edges, components, style, rounds)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def neighbour_map(
+    vectors: DataFrame,
+    dimensions: int,
+    components: int = 2,
+    method: str = "umap",
+    neighbours: int = 15,
+    perplexity: float = 30.0,
+    rounds: int | None = None,
+    lone_pages: bool = False,
+    group_rows: int | None = None,
+    local_pages: int | None = None,
+) -> DataFrame:
+    """:func:`layout` of dense vectors from their principal components: ``site_id, url, coords``.
+
+    Sites of one page give no row, or the origin with *lone_pages*.
+    """
+    nearest = nearest_pages(vectors, dimensions, neighbours_wanted(method, neighbours, perplexity), group_rows)
+    start = pca(vectors, dimensions, components, group_rows)
+    found = layout(start, neighbour_graph(nearest, method, perplexity), components, method, rounds, local_pages)
+    return _with_lone_pages(found, vectors, components, lone_pages)
+
+
+def term_map(
+    vectors: DataFrame,
+    components: int = 2,
+    method: str = "tsne",
+    neighbours: int = 15,
+    perplexity: float = 30.0,
+    rounds: int | None = None,
+    lone_pages: bool = False,
+    local_pages: int | None = None,
+) -> DataFrame:
+    """:func:`layout` of sparse term rows (``site_id, url, terms``): ``site_id, url, coords``.
+
+    Neighbours are the exact nearest pages by terms; the start is the rows' principal components. A
+    page without terms, or with none that another page has, is pushed only.
+    """
+    nearest = nearest_by_terms(vectors, neighbours_wanted(method, neighbours, perplexity))
+    start = sparse_pca(vectors, components)
+    found = layout(start, neighbour_graph(nearest, method, perplexity), components, method, rounds, local_pages)
+    return _with_lone_pages(found, vectors, components, lone_pages)
+
+
+def _with_lone_pages(found: DataFrame, vectors: DataFrame, components: int, lone_pages: bool) -> DataFrame:
+    laid_out = found.select("site_id", "url", "coords")
     if not lone_pages:
         return laid_out
-    lone = attach_by_site(vectors.select("site_id", "url"), sizes).filter(F.col("n") == 1)
+    lone = vectors.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).filter("n = 1")
     origin = F.array_repeat(F.lit(0.0), components)
     return laid_out.unionByName(lone.select("site_id", "url", origin.alias("coords")))
 
 
+def kept_neighbours(nearest: DataFrame, coords: DataFrame, components: int = 2, k: int = 15) -> DataFrame:
+    """Per site, ``pages`` and ``kept``: the mean share of a page's k nearest pages that are among its k nearest in the layout."""
+    spots = coords.select("site_id", "url", F.col("coords").alias("embedding"))
+    close = nearest_pages(spots, components, k, metric="euclid").select("site_id", "url", "neighbour", F.lit(1).alias("met"))
+    wanted = nearest.filter(F.col("rank") <= k).select("site_id", "url", "neighbour")
+    shares = wanted.join(close, ["site_id", "url", "neighbour"], "left").groupBy("site_id", "url").agg((F.count("met") / F.count(F.lit(1))).alias("share"))
+    return shares.groupBy("site_id").agg(F.count(F.lit(1)).alias("pages"), F.avg("share").alias("kept"))
+
+
 # --- M3 -----------------------------------------------------------------------------------
 
 

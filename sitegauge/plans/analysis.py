@@ -12,7 +12,7 @@ from sitegauge.operators import pairs as P
 from sitegauge.operators import scores as S
 from sitegauge.operators import tfidf as D
 from sitegauge.operators.dedup import cap_urls, merge_sitemap_urls
-from sitegauge.operators.topicmap import coordinates, neighbour_map
+from sitegauge.operators.topicmap import coordinates, term_map
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,6 @@ class AnalysisOptions:
     perplexity: float = 15.0
     k1: float = 5.0
     k2: float = 5.0
-    hashed_dimensions: int = 256
     rounds: int | None = None
     stop_words: tuple[str, ...] = field(default_factory=D.library_stop_words)
 
@@ -68,19 +67,12 @@ def text_analysis(
 ) -> tuple[DataFrame, DataFrame]:
     """(scored pages, scored sites) of pages with ``site_id, url, processed_text``."""
     terms = term_rows(pages, options)
-    dense = D.hashed_vectors(terms, options.hashed_dimensions)
     # pages without any term still have a place in the result
-    zeros = F.array_repeat(F.lit(0.0), options.hashed_dimensions)
-    vectors = pages.select("site_id", "url").join(dense, ["site_id", "url"], "left").select(
-        "site_id", "url", F.coalesce("embedding", zeros).alias("embedding")
+    vectors = pages.select("site_id", "url").join(terms, ["site_id", "url"], "left").select(
+        "site_id", "url", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)).alias("terms")
     )
-    layout = neighbour_map(
-        vectors,
-        options.hashed_dimensions,
-        method="tsne",
-        perplexity=options.perplexity,
-        rounds=options.rounds,
-        lone_pages=True,
+    layout = term_map(
+        vectors, method="tsne", perplexity=options.perplexity, rounds=options.rounds, lone_pages=True
     )
     points = coordinates(layout).drop("id")
     scored = S.with_previews(S.page_scores(points), pages, sources)

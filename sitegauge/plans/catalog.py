@@ -16,11 +16,12 @@ from sitegauge.operators import pairs as P
 from sitegauge.operators import ranks as G
 from sitegauge.operators import scores as S
 from sitegauge.operators import tfidf as D
+from sitegauge.operators import sparse as SP
 from sitegauge.operators import topicmap as M
 from sitegauge.plans import inputs as I
 from sitegauge.plans.analysis import AnalysisOptions, text_analysis
 from sitegauge.plans.report import site_brief
-from sitegauge.session import scratch_path, ship_package
+from sitegauge.session import materialize, scratch_path, ship_package
 from sitegauge.sources import sitemaps as X
 from sitegauge.sources import store as W
 from sitegauge.streaming import ingest as TI
@@ -592,6 +593,12 @@ def e10_knn(spark, folder):
     return P.nearest_pages(usable(spark, folder), DIMS, 15).select("site_id", "url", "rank", "neighbour", r6("distance"))
 
 
+@query
+def e10_nearest_by_terms(spark, folder):
+    vectors = D.term_vectors(I.doc_site(spark, folder), D.CONTENT_ONLY)
+    return SP.nearest_by_terms(vectors, 15).select("site_id", "url", "rank", "neighbour", r6("distance"))
+
+
 @query
 def e11_inspector_filter(spark, folder):
     urls = I.url_catalog(spark, folder).select("site_id", "url").distinct()
@@ -644,19 +651,51 @@ def m1_pca_energy(spark, folder):
     return M.pca(usable(spark, folder), DIMS, DIMS).select("site_id", "url", F.round(energy, 6).alias("energy"))
 
 
+@query
+def m1_sparse_pca(spark, folder):
+    """Components of the documents' term rows: how many pages a site's axes place, and that their mean is nought."""
+    vectors = D.term_vectors(I.doc_site(spark, folder), D.CONTENT_ONLY)
+    coords = SP.sparse_pca(vectors, 10).select("site_id", F.posexplode("coords").alias("axis", "value"))
+    return coords.groupBy("site_id", "axis").agg(F.count(F.lit(1)).alias("pages"), (F.abs(F.sum("value")) < 1e-6).alias("centred"))
+
+
+def _keeps_neighbours(vectors, nearest, layout, start, components):
+    """Per site: its pages, and whether the layout keeps at least as many neighbours as the start that it came from."""
+    layout, nearest = materialize(layout), materialize(nearest)
+    kept = M.kept_neighbours(nearest, layout, components).join(
+        M.kept_neighbours(nearest, start, components).select("site_id", F.col("kept").alias("kept_at_start")), "site_id"
+    )
+    return kept.select("site_id", "pages", (F.col("kept") >= F.col("kept_at_start")).alias("keeps_at_least_pca"))
+
+
+def _map_keeps(spark, folder, components, method):
+    vectors = usable(spark, folder)
+    layout = M.neighbour_map(vectors, DIMS, components, method)
+    return _keeps_neighbours(vectors, P.nearest_pages(vectors, DIMS, 15), layout, M.pca(vectors, DIMS, components), components)
+
+
 @query
 def m2_neighbour_map_umap(spark, folder):
-    return M.neighbour_map(usable(spark, folder), DIMS, 2, "umap")
+    return _map_keeps(spark, folder, 2, "umap")
 
 
 @query
 def m2_neighbour_map_tsne(spark, folder):
-    return M.neighbour_map(usable(spark, folder), DIMS, 2, "tsne")
+    return _map_keeps(spark, folder, 2, "tsne")
+
+
+@query
+def m2_term_map(spark, folder):
+    vectors = D.term_vectors(I.doc_site(spark, folder), D.CONTENT_ONLY)
+    return _keeps_neighbours(vectors, SP.nearest_by_terms(vectors, 15), M.term_map(vectors), SP.sparse_pca(vectors, 2), 2)
 
 
 @query
 def m3_coordinates(spark, folder):
-    return M.coordinates(M.neighbour_map(usable(spark, folder), DIMS, 3, "umap"), 3)
+    """Every page has an id and three finite coordinates."""
+    found = M.coordinates(M.neighbour_map(usable(spark, folder), DIMS, 3, "umap"), 3)
+    finite = F.abs("x") + F.abs("y") + F.abs("z") < float("inf")
+    return found.select("site_id", "url", "id", finite.alias("finite"))
 
 
 @query

@@ -404,6 +404,11 @@ ORACLES["e10_knn"] = f"""WITH {_VECTORS}, {_COSINE_PAIRS}, both_ways AS (
   SELECT site_id, url1 AS url, url2 AS neighbour, d FROM pairs UNION ALL SELECT site_id, url2, url1, d FROM pairs), ranked AS (
   SELECT site_id, url, neighbour, d, row_number() OVER (PARTITION BY site_id, url ORDER BY round(d, 9), neighbour) AS rank FROM both_ways)
 SELECT site_id, url, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM ranked WHERE rank <= 15"""
+_TERM_NEIGHBOURS = f"""{_DOC_TFIDF}, met AS (
+  SELECT a.site_id, a.url, b.url AS neighbour, 1 - sum(a.w * b.w) AS d FROM unit a JOIN unit b ON a.site_id = b.site_id AND a.term = b.term AND a.url <> b.url GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY site_id, url ORDER BY round(d, 9), neighbour) AS rank FROM met)"""
+ORACLES["e10_nearest_by_terms"] = f"""WITH {_TERM_NEIGHBOURS}
+SELECT site_id, url, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 6) AS distance FROM ranked WHERE rank <= 15"""
 ORACLES["e11_inspector_filter"] = f"""WITH {_MERGED} SELECT site_id, url FROM merged
 WHERE {_type('url')} = 'Product' AND source_sitemap = 'https://site7.example.com/sitemap-2.xml'"""
 
@@ -452,6 +457,18 @@ ORACLES["m1_pca_energy"] = f"""WITH {_VECTORS}, parts AS (
   SELECT site_id, i, avg(v) AS m FROM parts GROUP BY ALL)
 SELECT site_id, url, round(sum((v - m) * (v - m)), 6) AS energy FROM parts JOIN means USING (site_id, i) GROUP BY ALL"""
 
+_TERM_PAGES = f"{_DOC_TFIDF}, sized AS (SELECT site_id, count(DISTINCT url) AS pages FROM unit GROUP BY site_id)"
+ORACLES["m1_sparse_pca"] = f"""WITH {_TERM_PAGES}
+SELECT site_id, CAST(axis AS INTEGER) AS axis, pages, true AS centred FROM sized, range(10) t(axis)"""
+# every site of more than one page, all pages of it; the layout may not lose neighbours that its start had
+_MAPPED = f"WITH {_VECTORS}, sized AS (SELECT site_id, count(*) AS pages FROM vectors GROUP BY site_id) SELECT site_id, pages, true AS keeps_at_least_pca FROM sized WHERE pages > 1"
+ORACLES["m2_neighbour_map_umap"] = _MAPPED
+ORACLES["m2_neighbour_map_tsne"] = _MAPPED
+ORACLES["m2_term_map"] = f"""WITH {_TERM_NEIGHBOURS}
+SELECT site_id, count(DISTINCT url) AS pages, true AS keeps_at_least_pca FROM met GROUP BY site_id"""
+ORACLES["m3_coordinates"] = f"""WITH {_VECTORS}, sized AS (SELECT *, count(*) OVER (PARTITION BY site_id) AS pages FROM vectors)
+SELECT site_id, url, sha256(url) AS id, true AS finite FROM sized WHERE pages > 1"""
+
 # --- streaming ---
 _ROLLUP = f"""WITH {_LOG}, counts AS (
   SELECT project, count(*) AS total, count(*) FILTER (status IN ('completed', 'skipped')) AS processed, count(*) FILTER (status = 'failed') AS failed
