@@ -165,3 +165,12 @@ def test_links_across_the_sign_bit():
     for side in (0, 1):
         u, v = simhash._stars(np.array([5, ~5], dtype=np.int64), 3)
         assert not len(u)
+
+
+def test_keep_one_judges_each_text_of_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(5, long, 1), (5, "quite another text", 2), (9, long, 3), (None, long, 4), (None, "nameless", 5), (None, "nameless", 5), (5, long, 1), (7, None, 6), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    kept = {tuple(r) for r in simhash.keep_one(docs).collect()}
+    assert kept == {(5, long, 1), (5, "quite another text", 2), (None, "nameless", 5), (7, None, 6)}
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(docs.where("false")).count() == 0
