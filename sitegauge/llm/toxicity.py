@@ -43,7 +43,7 @@ LETTERS = 100
 #: Share of a toxic text's words that are from the toxic model.
 TOXIC_SHARE = 0.01
 #: Entries that are broadcast, 12 bytes each, the weightiest first; and words of 64 bits that tell of the others.
-HELD_ROWS = 1 << 19
+HELD_ROWS = 1 << 21
 MAP_ROWS = 1 << 20
 #: Labelled rows left out of the counts: one of so many; and how many of them fit the calibration.
 CALIBRATION_SHARE = 8
@@ -282,11 +282,11 @@ def _ratios_of(rows: DataFrame, model: Model) -> DataFrame:
     parts = keyed.select(*carried, "text", "_key").mapInArrow(run, schema)
     total = F.col("_total")
     if model.table is not None:
-        parts = materialize(parts)
-        rest = parts.select("_key", F.explode("_rest").alias("w")).select("_key", "w.*").dropDuplicates(["_key", "word"])
+        parts = materialize(parts.withColumn("_row", F.monotonically_increasing_id()))
+        rest = parts.select("_row", F.explode("_rest").alias("w")).select("_row", "w.*")
         values = materialize(_joined_values(rest.select("word").distinct(), model.table))
-        added = rest.join(small_side(values, 100_000), "word").groupBy("_key").agg(F.sum(F.col("times") * F.col("value")).alias("_added"))
-        parts = parts.join(added, "_key", "left")
+        added = rest.join(small_side(values, 100_000), "word").groupBy("_row").agg(F.sum(F.col("times") * F.col("value")).alias("_added"))
+        parts = parts.join(added, "_row", "left")
         total = total + F.coalesce("_added", F.lit(0.0))
     return parts.select(*carried, "_key", F.when(F.col("_n") > 0, total / F.col("_n")).otherwise(0.0).alias("x"))
 
