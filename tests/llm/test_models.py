@@ -246,6 +246,42 @@ def test_personal_data(spark):
     assert pii.scan(docs.limit(3), empty).count() == 3 and pii.scan(docs.where("false"), model).count() == 0
 
 
+#: Text around a span, the span, its kind: forms outside the base patterns that the trees add.
+PLANTED = (
+    ("reach ", "jane.doe (at) example (dot) com", " now", "email"),
+    ("an ", "k.lee [at] mail4.example.org", " da", "email"),
+    ("from ", "2001:db8:85a3:8d3:1319:8a2e:370:7348", " today", "ip"),
+    ("iban ", "DE89 3704 0044 0532 0130 00", " end", "account"),
+    ("ring ", "GB82WEST12345698765432", " end", "account"),
+    ("call ", "001 (487) 555-7209", " the", "phone"),
+    ("tel ", "1 (487) 555-7209", " the", "phone"),
+    ("oink ", "4845.1681.1440.7329", " ea", "card"),
+    ("SSN ", "219-09-9998", " on file", "identity"),
+)
+LOOKALIKES = (
+    "we meet (at) 5.30 sharp", "mac 00:1b:44:11:3a:b7 up", "at 12:30:45:10:20 run", "iban DE88 3704 0044 0532 0130 00 end",
+    "order 980791576280449012 sent", "on 2024-05-17 10:30 again", "part no. 000-12-3456 here", "oink 4845.1681.1440.7320 ea",
+)
+
+
+def test_added_personal_data(spark):
+    model = pii.fit(table(spark, "/root/testdata/sf0.1", "documents"))
+    assert set(model.thresholds) == set(range(len(pii.PROPOSERS)))
+    for before, span, after, kind in PLANTED:
+        base, found = pii.all_spans(before + span + after, model)
+        assert not base and pii.spans_text(found) == f"{kind}:{len(before)}:{len(before) + len(span)}", (before, span)
+    for text in LOOKALIKES:
+        assert pii.all_spans(text, model) == ([], []), text
+
+
+def test_threshold_takes_equal_scores_together():
+    n = pii.LEAST_PASSED
+    p, y = np.array([0.9] * n + [0.5] * n), np.array([1] * n + [1] * (n - 1) + [0])
+    assert pii._threshold(p, y, np.ones(2 * n)) == (0.5 if 2 * n - 1 >= pii.PRECISION * 2 * n else 0.9)
+    assert pii._threshold(p, y, np.zeros(2 * n)) == 0.9  # the one negative is the documents' own
+    assert pii._threshold(p[: n - 1], y[: n - 1], np.zeros(n - 1)) is None
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 40, (3000, 6))
