@@ -38,11 +38,15 @@ def site_groups(rows: DataFrame, group_rows: int) -> DataFrame:
 
 def to_cells(rows: DataFrame, groups: DataFrame, row_id: str) -> DataFrame:
     """Copy each row to the cells of its group."""
+    return copy_to_cells(attach_by_site(rows, groups), row_id)
+
+
+def copy_to_cells(rows: DataFrame, row_id: str) -> DataFrame:
+    """:func:`to_cells` for rows that already carry their site's number of ``groups``."""
     group = F.pmod(F.xxhash64(row_id), F.col("groups")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
     return (
-        attach_by_site(rows, groups)
-        .withColumn("grp", group)
+        rows.withColumn("grp", group)
         .withColumn("other", other)
         .withColumn("ci", F.least("grp", "other"))
         .withColumn("cj", F.greatest("grp", "other"))

@@ -490,42 +490,50 @@ def _best(keep: list[np.ndarray], limit: int) -> list[np.ndarray]:
     return [c[order] for c in (sim, r1, r2, i, j)]
 
 
+def cell_top_pairs(table: pa.Table, max_distance: float, limit: int) -> tuple[pa.Table, float]:
+    """A cell's best *limit* pairs of copy groups, and the largest distance of all its pairs."""
+    values = B.unit_rows(B.matrix(table, "embedding"))
+    rank = _order_of(table.column("rep"))
+    urls = table.column("urls")
+    best = [np.empty(0) for _ in range(3)] + [np.empty(0, np.int64) for _ in range(2)]
+    twins = best
+    widest = 0.0
+    if B.is_diagonal(table):
+        size = np.array([len(u) for u in urls.to_pylist()])
+        own = np.flatnonzero((size > 1) & values.any(axis=1))
+        twins = _best([np.ones(len(own)), rank[own], rank[own], own, own], limit)
+    for rows, columns, distance, mask in B.tiles(table, values, B.cosine):
+        close = distance < max_distance
+        if mask is not None:
+            close &= mask
+        widest = max(widest, float(distance.max(initial=0.0, where=True if mask is None else mask)))
+        r, c = np.nonzero(close)
+        if not len(r):
+            continue
+        sim = 1.0 - distance[r, c]
+        if len(sim) > limit:
+            # everything as close as the limit-th pair, with those that rounding ties to it
+            least = np.partition(sim, len(sim) - limit)[len(sim) - limit] - 10.0**-RANK_DIGITS
+            near = sim >= least
+            r, c, sim = r[near], c[near], sim[near]
+        found = [sim, rank[rows[r]], rank[columns[c]], rows[r], columns[c]]
+        best = _best([np.concatenate(pair) for pair in zip(best, found)], limit)
+    sim, r1, r2, i, j = (np.concatenate(pair) for pair in zip(best, twins))
+    first, second = np.where(r1 <= r2, i, j), np.where(r1 <= r2, j, i)
+    pairs = pa.table(
+        {
+            "site_id": B.key_columns(table, len(sim)),
+            "urls1": _picked(urls, first),
+            "urls2": _picked(urls, second),
+            "similarity": pa.array(sim, pa.float64()),
+        }
+    )
+    return pairs, widest
+
+
 def _top_pairs_kernel(max_distance: float, limit: int):
     def kernel(table: pa.Table) -> pa.Table:
-        values = B.unit_rows(B.matrix(table, "embedding"))
-        rank = _order_of(table.column("rep"))
-        urls = table.column("urls")
-        best = [np.empty(0) for _ in range(3)] + [np.empty(0, np.int64) for _ in range(2)]
-        twins = best
-        if B.is_diagonal(table):
-            size = np.array([len(u) for u in urls.to_pylist()])
-            own = np.flatnonzero((size > 1) & values.any(axis=1))
-            twins = _best([np.ones(len(own)), rank[own], rank[own], own, own], limit)
-        for rows, columns, distance, mask in B.tiles(table, values, B.cosine):
-            close = distance < max_distance
-            if mask is not None:
-                close &= mask
-            r, c = np.nonzero(close)
-            if not len(r):
-                continue
-            found = [
-                1.0 - distance[r, c],
-                rank[rows[r]],
-                rank[columns[c]],
-                rows[r],
-                columns[c],
-            ]
-            best = _best([np.concatenate(pair) for pair in zip(best, found)], limit)
-        sim, r1, r2, i, j = (np.concatenate(pair) for pair in zip(best, twins))
-        first, second = np.where(r1 <= r2, i, j), np.where(r1 <= r2, j, i)
-        return pa.table(
-            {
-                "site_id": B.key_columns(table, len(sim)),
-                "urls1": _picked(urls, first),
-                "urls2": _picked(urls, second),
-                "similarity": pa.array(sim, pa.float64()),
-            }
-        )
+        return cell_top_pairs(table, max_distance, limit)[0]
 
     return kernel
 

@@ -9,6 +9,7 @@ from sitegauge.functions import text as T
 from sitegauge.functions import urls as U
 from sitegauge.functions import vectors as V
 from sitegauge.operators import pairs as P
+from sitegauge.operators import profile
 from sitegauge.operators.lookups import attach_by_site
 
 # Both sensitivity factors are relative to this default.
@@ -124,26 +125,27 @@ def radius_score_cosine(largest: Column, diameter: Column, k2: float = DEFAULT_K
 
 
 def vector_site_scores(
-    vectors: DataFrame, dimensions: int, k1: float = DEFAULT_K, k2: float = DEFAULT_K
+    vectors: DataFrame,
+    dimensions: int,
+    k1: float = DEFAULT_K,
+    k2: float = DEFAULT_K,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Focus, radius and centroid of every site from its page vectors."""
-    centroids = centroid_nd(vectors)
-    spread = _spread(cosine_distances(vectors, centroids))
-    return (
-        spread.join(centroids.select("site_id", "centroid"), "site_id")
-        .join(P.diameter_cosine(vectors, dimensions), "site_id")
-        .select(
-            "site_id",
-            "total",
-            "mean_distance",
-            "max_distance",
-            "diameter",
-            "centroid",
-            focus_score(F.col("mean_distance"), F.col("max_distance"), k1).alias("focus_score"),
-            radius_score_cosine(F.col("max_distance"), F.col("diameter"), k2).alias(
-                "radius_score"
-            ),
-        )
+    return _scored(profile.site_spans(vectors, dimensions, group_rows), k1, k2)
+
+
+def _scored(sites: DataFrame, k1: float, k2: float, *more: str) -> DataFrame:
+    return sites.select(
+        "site_id",
+        "total",
+        "mean_distance",
+        "max_distance",
+        "diameter",
+        "centroid",
+        focus_score(F.col("mean_distance"), F.col("max_distance"), k1).alias("focus_score"),
+        radius_score_cosine(F.col("max_distance"), F.col("diameter"), k2).alias("radius_score"),
+        *more,
     )
 
 
@@ -154,20 +156,9 @@ def project_results(
     k2: float = DEFAULT_K,
     max_distance: float = P.CANNIBAL_DISTANCE,
     limit: int = P.CANNIBAL_LIMIT,
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """One row per site: scores, page count, centroid and its most similar pairs."""
+    """One row per site: scores, page count, centroid and its most similar pairs, by one pass over the cells."""
     usable = P.usable_vectors(vectors, dimensions)
-    best = P.cannibalization(usable, dimensions, max_distance, limit)
-    entry = F.struct("rank", "url1", "url2", "similarity")
-    # at most *limit* rows per site
-    listed = best.groupBy("site_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(entry)),
-            lambda e: F.struct(e["url1"].alias("url1"), e["url2"].alias("url2"), e["similarity"].alias("similarity")),
-        ).alias("pairs")
-    )
-    scores = vector_site_scores(usable, dimensions, k1, k2)
-    none = F.array().cast("array<struct<url1:string,url2:string,similarity:double>>")
-    return scores.join(listed, "site_id", "left").withColumn(
-        "pairs", F.coalesce("pairs", none)
-    )
+    found = profile.site_spans_and_pairs(usable, dimensions, max_distance, limit, group_rows)
+    return _scored(found, k1, k2, "pairs")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sitegauge.operators import pairs as P
 from sitegauge.operators import ranks as G
@@ -98,6 +99,44 @@ def test_vector_edges(spark):
     assert P.diameter_cosine(space(spark, [[1, 0], [0, 0], [1, 0]]), 2).first().diameter == 1
 
 
+@pytest.mark.parametrize("size", [5, 1000])
+def test_site_rows_of_one_pass_against_brute_force(spark, size):
+    rng = np.random.default_rng(11)
+    sites = {
+        "mixed": rng.normal(size=(40, 4)).round(1).tolist() + [[1.0, 0.5, 0.2, 0.1]] * 30,
+        "narrow": (np.array([1.0, 1, 1, 1]) + rng.normal(scale=0.1, size=(50, 4))).tolist(),
+        "zeros": [[0.0] * 4] * 7,
+        "zero": [[1.0, 0.0, 0.0, 0.0], [0.0] * 4, [1.0, 0.1, 0.0, 0.0]],
+        "one": [[1.0, 2.0, 3.0, 4.0]],
+    }
+    rows = [(s, f"http://example.com/{s}{i}", v) for s, vs in sites.items() for i, v in enumerate(vs)]
+    frame = spark.createDataFrame(rows, "site_id string, url string, embedding array<double>")
+    spans = {r.site_id: r for r in S.vector_site_scores(frame, 4, group_rows=size).collect()}
+    whole = {r.site_id: r for r in S.project_results(frame, 4, max_distance=0.3, limit=40, group_rows=size).collect()}
+    assert set(spans) == set(whole) == set(sites)
+    for site, vectors in sites.items():
+        distance, array = brute(vectors), np.array(vectors)
+        zero = ~array.any(axis=1)
+        distance[np.ix_(zero, zero)] = 1
+        np.fill_diagonal(distance, 0)
+        unit = brute([*vectors, array.mean(axis=0).tolist()])[-1, :-1]
+        for row in (spans[site], whole[site]):
+            assert row.total == len(vectors) and len(row.centroid) == 4
+            assert row.diameter == pytest.approx(distance.max(), abs=1e-9)
+            assert (row.mean_distance, row.max_distance) == pytest.approx((unit.mean(), unit.max()), abs=1e-9)
+        best = P.cannibalization(frame.filter(F.col("site_id") == site), 4, 0.3, 40).orderBy("rank").collect()
+        assert [(p.url1, p.url2) for p in whole[site].pairs] == [(p.url1, p.url2) for p in best]
+        assert [p.similarity for p in whole[site].pairs] == pytest.approx([p.similarity for p in best], abs=1e-9)
+
+
+def test_site_rows_read_the_vectors_few_times(spark):
+    from sitegauge.plans import catalog
+
+    for name, most in (("f7_f8_vector_scores", 6), ("f15_project_result", 6)):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("Relation [") <= most, name
+
+
 def brute(vectors):
     unit = np.array([v / np.linalg.norm(v) if np.linalg.norm(v) else v * 0 for v in np.array(vectors, float)])
     distance = np.clip(1 - unit @ unit.T, 0, 2)
