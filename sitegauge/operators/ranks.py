@@ -84,9 +84,39 @@ def focus_label(percent):
     )
 
 
+#: Sites up to which their bounds are broadcast.
+BROADCAST_SITES = 1 << 20
+
+
 def top_pairs(pairs: DataFrame, limit: int = 20, by: str = "distance", descending: bool = False):
-    """First *limit* pairs of each site with the number of all its pairs."""
-    lead = F.desc(by) if descending else F.asc(by)
-    totals = pairs.groupBy("site_id").agg(F.count(F.lit(1)).alias("total_pairs"))
-    best = _top(pairs, [lead, F.asc("url1"), F.asc("url2")], limit)
-    return attach_by_site(best, totals)
+    """First *limit* pairs of each site with the number of all its pairs.
+
+    Pairs are counted by ranges of *by*, and only those up to the end of the range that completes a site's first
+    *limit* are ranked: no task sorts all pairs. A range is known by the last value in it, so
+    how values are dealt to ranges decides the work, never the result.
+    """
+    lead, last, end = (F.desc, F.min, F.min) if descending else (F.asc, F.max, F.max)
+    value = F.col(by).cast("double")
+    dealt = F.when(value == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(value)) * 64)).cast("long")
+    ranges = pairs.groupBy("site_id", F.signum(value).alias("sign"), dealt.alias("range")).agg(
+        F.count(F.lit(1)).alias("pairs"), last(by).alias("last")
+    )
+    by_site = Window.partitionBy("site_id").orderBy(lead("last"))
+    before = F.coalesce(F.sum("pairs").over(by_site.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = F.when(F.col("before") < limit, F.struct("last"))
+    bounds = materialize(
+        ranges.withColumn("before", before)
+        .groupBy("site_id")
+        .agg(
+            F.sum("pairs").alias("total_pairs"),
+            end(needed["last"]).alias("bound"),
+            F.max(needed.isNotNull() & F.col("last").isNull()).alias("blank"),
+        )
+    )
+    inside = (F.col(by) >= F.col("bound")) if descending else (F.col(by) <= F.col("bound"))
+    kept = F.coalesce(inside, F.lit(False)) | (F.col(by).isNull() & F.col("blank"))
+    few = bounds.count() <= BROADCAST_SITES
+    held = pairs.join(F.broadcast(bounds), "site_id") if few else attach_by_site(pairs, bounds)
+    best = held.filter(kept).select(*pairs.columns, "total_pairs")
+    order = [lead(by), F.asc("url1"), F.asc("url2")]
+    return _top(best, order, limit).select(*pairs.columns, "rank", "total_pairs")
