@@ -1,9 +1,12 @@
 """Bounds of memory and work that hold for sites of any size."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from sitegauge import session as S
 from sitegauge.operators import blocks as B
 from sitegauge.operators import pairs as P
 from sitegauge.operators import ranks as G
@@ -82,3 +85,13 @@ def test_near_duplicates_shuffle_no_pairs(spark):
     assert plan.index("Join") > plan.index("Generate explode(pages2")
     # 300 pairs of different places, and the page without a name beside each of the others
     assert found.count() == 330 and found.where("url1 = url2").count() == 30
+
+
+def test_term_rows_are_not_checkpointed_whole(spark):
+    rows = [("s", f"p{i}", " ".join(f"w{(i * j) % 97}" for j in range(30))) for i in range(40)]
+    vectors = D.term_vectors(spark.createDataFrame(rows, "site_id string, url string, text string"), D.URL_ONLY)
+    S.materialize(spark.range(1))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.iterdir())
+    P.similar_term_pairs(vectors, 0.5).collect()
+    assert set(folder.iterdir()) == before
