@@ -107,3 +107,23 @@ def test_kept_neighbours(spark):
     coords = spark.createDataFrame(rows, "site_id string, url string, coords array<double>")
     nearest = spark.createDataFrame([("s", "p0", 1, "p1"), ("s", "p0", 2, "p5"), ("s", "p3", 1, "p2"), ("s", "p3", 2, "p4")], "site_id string, url string, rank int, neighbour string")
     assert [(r.site_id, r.pages, r.kept) for r in M.kept_neighbours(nearest, coords, 2, 2).collect()] == [("s", 2, 0.75)]
+
+
+def test_layout_of_a_big_site_takes_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("s", f"p{i:03d}", (rng.standard_normal(6) + 4 * (i % 3) * np.eye(6)[i % 3]).tolist()) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "site_id string, url string, embedding array<double>").cache()
+    near = P.nearest_pages(vectors, 6, 8).cache()
+    start = M.pca(vectors, 6, 2).cache()
+    # a page that no edge reaches is pushed only
+    graph = M.neighbour_graph(near).where("url != 'p000' and neighbour != 'p000'").cache()
+    start.count(), graph.count()
+    spark.sparkContext.setJobGroup("big site", "")
+    found = M.layout(start, graph, rounds=16, local_pages=30).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("big site"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sorted(r.url for r in found) == [r[1] for r in rows] and {r.rounds for r in found} == {16}
+    assert np.isfinite([r.coords for r in found]).all()
+    layout = spark.createDataFrame(found)
+    assert M.kept_neighbours(near, layout, 2, 8).first().kept > M.kept_neighbours(near, start, 2, 8).first().kept
+    assert jobs < 60, jobs
