@@ -31,7 +31,7 @@ from sitegauge.llm import workers
 from sitegauge.session import materialize, scratch_path
 
 #: Segments that a worker process keeps, and the longest of them in characters.
-CACHE_ROWS = 300_000
+CACHE_ROWS = 500_000
 LONGEST_KEPT = 48
 #: Characters of texts whose segments are looked up together.
 BATCH_CHARS = 1 << 20
@@ -67,39 +67,57 @@ class Aligner:
         self.b_lengths = np.array([len(own) for own in self.b_bytes])
         self.width = len(names)
         self.cuts = not any(_CROSSES.search(n) for n in names)
-        self.kept: dict[str, tuple | None] = {}
+        #: Every id as text with what follows it, at 4 times the id plus the follower's place in this string.
+        self.spelled = [f"{i}{after}" for i in range(max(len(self.a_lengths), len(names))) for after in ",|;\n"]
+        self._forget()
 
-    def _facts(self, segments: list[str]) -> Iterator[tuple | None]:
-        """Of each segment counts, group text and linked id pairs; None where the tokens' bytes are not its own.
+    def _forget(self) -> None:
+        """Empties the kept segments: the row of each, and by row counts, group text, whether it has tokens, and the place of its links."""
+        self.kept: dict[str, int] = {}
+        self.counts, self.texts, self.fine = np.zeros((0, 4), np.int64), [], np.zeros(0, bool)
+        self.links = np.zeros(0, np.int64)
+
+    def _facts(self, segments: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Counts, group text and whether the tokens' bytes are its own for each segment, and the linked id pairs of all, in order.
 
         Segments are worked on together, their tokens one after the other in flat arrays; ends are places in
         the bytes of all.
         """
         spaced = [" " + s for s in segments]
         raw = [s.encode("utf-8") for s in spaced]
+        raw_sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.concatenate([[0], np.cumsum(raw_sizes)])
+        whole = b"".join(raw)
         coded_a = self.a.encode_batch(spaced, add_special_tokens=False)
         coded_b = self.b.encode(segments, return_type="offset_mapping", num_threads=1)
-        sides = []
+        sides, good = [], np.ones(len(raw), bool)
         for ids, spans, table, lengths, shift in (
             ([e.ids for e in coded_a], [e.offsets for e in coded_a], self.a_bytes, self.a_lengths, 0),
             ([e["ids"] for e in coded_b], [e["offsets"] for e in coded_b], self.b_bytes, self.b_lengths, 1),
         ):
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum())
-            same = np.array([b"".join(map(table.__getitem__, i)) == r for i, r in zip(ids, raw)])
-            span_ends = np.fromiter((e for own in spans for _, e in own), np.int64, len(flat)) + shift
-            sides.append((sizes, flat, np.repeat(np.arange(len(ids)), sizes), same, span_ends, np.cumsum(lengths[flat])))
-        good = sides[0][3] & sides[1][3]
+            listed = list(chain.from_iterable(ids))
+            flat = np.array(listed, np.int64)
+            of = np.repeat(np.arange(len(ids)), sizes)
+            decoded = np.cumsum(lengths[flat])
+            # if every segment has as many bytes as its own, the joined bytes compare them all
+            if not ((np.bincount(of, weights=lengths[flat], minlength=len(raw)) == raw_sizes).all() and b"".join(map(table.__getitem__, listed)) == whole):
+                good &= [b"".join(map(table.__getitem__, i)) == r for i, r in zip(ids, raw)]
+            span_ends = np.array([e for own in spans for _, e in own], np.int64) + shift
+            sides.append((sizes, flat, of, span_ends, decoded))
         if not good.all():
-            rest = self._facts([s for s, fine in zip(segments, good.tolist()) if fine])
-            yield from (next(rest) if fine else None for fine in good.tolist())
-            return
-        starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+            counts, texts = np.zeros((len(segments), 4), np.int64), [""] * len(segments)
+            links = np.zeros(0, np.int64)
+            if good.any():
+                counts[good], found, links, _ = self._facts([s for s, fine in zip(segments, good.tolist()) if fine])
+                for k, text in zip(np.flatnonzero(good).tolist(), found):
+                    texts[k] = text
+            return counts, texts, links, good
         in_bytes = np.zeros(len(segments), bool)
         in_bytes[sides[1][2][self.b_single[sides[1][1]]]] = True
-        plain = ~in_bytes & np.fromiter((len(r) == len(s) for r, s in zip(raw, spaced)), bool, len(raw))
+        plain = ~in_bytes & (raw_sizes == np.fromiter(map(len, spaced), np.int64, len(raw)))
         # the spans are the coarse cuts; multibyte characters and byte tokens are refined by decoded bytes
-        ends = [np.where(plain[of], starts[of] + spans, decoded) for _, _, of, _, spans, decoded in sides]
+        ends = [np.where(plain[of], starts[of] + spans, decoded) for _, _, of, spans, decoded in sides]
         group_of = []
         for k in (0, 1):
             cut = np.isin(ends[k], ends[1 - k])
@@ -120,40 +138,69 @@ class Aligner:
         after = np.full(len(order), 0)  # a comma
         after[:-1] = np.where(of[1:] != of[:-1], 3, np.where(group[1:] != group[:-1], 2, side[1:] - side[:-1]))
         after[-1] = 3
-        ids = map(str, np.concatenate([ids_a, ids_b])[order].tolist())
-        texts = "".join(chain.from_iterable(zip(ids, map(",|;\n".__getitem__, after.tolist())))).split("\n")
-        at = 0
-        for counts, text in zip(zip(sizes_a.tolist(), sizes_b.tolist(), groups_of.tolist(), links_of.tolist()), texts):
-            yield counts, text, links[at : at + counts[3]].copy()
-            at += counts[3]
-
-    def align(self, texts: list[str | None]) -> list[tuple | None]:
-        """(counts, group text, pairs, times) of each text; None without tokens."""
-        cut = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        kept = self.kept
-        missing = [s for s in set(chain.from_iterable(cut)) if s not in kept]
-        held, chunk = 0, []
+        spelled = (4 * np.concatenate([ids_a, ids_b])[order] + after).tolist()
+        texts = "".join(map(self.spelled.__getitem__, spelled)).split("\n")[:-1]
+        return np.column_stack([sizes_a, sizes_b, groups_of, links_of]), texts, links, good
+
+    def _add(self, missing: list[str]) -> None:
+        """Adds segments that are not kept yet."""
+        held, chunk, made = 0, [], []
+        self.kept.update(zip(missing, range(len(self.texts), len(self.texts) + len(missing))))
         for k, segment in enumerate(missing):
             chunk.append(segment)
             held += len(segment)
             if len(chunk) < workers.ENCODED_AT_ONCE and held < SEGMENT_CHARS and k < len(missing) - 1:
                 continue
-            kept.update(zip(chunk, self._facts(chunk)))
+            made.append(self._facts(chunk))
             held, chunk = 0, []
-        out: list[tuple | None] = []
-        for segments in cut:
-            facts = [kept[s] for s in segments]
-            if not facts or None in facts:
-                out.append(None)
-                continue
-            pairs, times = np.unique(np.concatenate([f[2] for f in facts]), return_counts=True)
-            out.append(([sum(c) for c in zip(*(f[0] for f in facts))], ";".join([f[1] for f in facts]), pairs, times))
-        for s in missing:
-            if len(s) > LONGEST_KEPT:
-                del kept[s]
-        if len(kept) > CACHE_ROWS:
-            kept.clear()
-        return out
+        if made:
+            counts, texts, links, fine = zip(*made)
+            self.counts, self.links, self.fine = (np.concatenate([old, *new]) for old, new in ((self.counts, counts), (self.links, links), (self.fine, fine)))
+            self.texts.extend(chain.from_iterable(texts))
+
+    def aligned(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts: counts, group text and number of distinct linked pairs of each, and the pairs of all, in order, with their times."""
+        cut = [(_CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
+        missing = set(chain.from_iterable(cut)).difference(self.kept)
+        # long segments come last, to be let go after these texts
+        long = [s for s in missing if len(s) > LONGEST_KEPT]
+        missing = [s for s in missing if len(s) <= LONGEST_KEPT]
+        kept_rows = len(self.texts) + len(missing)
+        self._add(missing + long)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        own = list(map(self.kept.__getitem__, chain.from_iterable(cut)))
+        rows, of = np.array(own, np.int64), np.repeat(np.arange(len(cut)), sizes)
+        bad = np.zeros(len(cut), bool)
+        bad[of[~self.fine[rows]]] = True
+        use = ~bad[of]
+        counts = np.zeros((len(cut), 4), np.int64)
+        for k in range(4):
+            counts[:, k] = np.bincount(of[use], weights=self.counts[rows[use], k], minlength=len(cut))
+        ends = np.cumsum(sizes).tolist()
+        groups = ["" if none else ";".join(map(self.texts.__getitem__, own[end - n : end])) for none, n, end in zip(bad.tolist(), sizes.tolist(), ends)]
+        # links of all the texts' segments; a text's pairs are counted by its place and the pair in one number
+        firsts = np.cumsum(self.counts[:, 3]) - self.counts[:, 3]
+        many = self.counts[rows[use], 3]
+        links = self.links[np.repeat(firsts[rows[use]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        span = len(self.a_lengths) * self.width
+        pairs, times = np.unique(np.repeat(of[use], many) * span + links, return_counts=True)
+        distinct = np.bincount(pairs // span, minlength=len(cut))
+        if kept_rows > CACHE_ROWS:
+            self._forget()
+        elif long:
+            for s in long:
+                del self.kept[s]
+            self.links = self.links[: self.counts[:kept_rows, 3].sum()].copy()
+            self.counts, self.fine = self.counts[:kept_rows].copy(), self.fine[:kept_rows].copy()
+            del self.texts[kept_rows:]
+        return counts, groups, distinct, pairs % span, times
+
+    def align(self, texts: list[str | None]) -> list[tuple | None]:
+        """(counts, group text, pairs, times) of each text; None without tokens."""
+        counts, groups, distinct, pairs, times = self.aligned(texts)
+        ends = np.cumsum(distinct)[:-1]
+        rows = zip(counts.tolist(), groups, np.split(pairs, ends), np.split(times, ends))
+        return [row if row[0][0] else None for row in rows]
 
 
 @cache
@@ -182,12 +229,12 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 held += len(texts[end - 1].as_py() or "")
                 if held < BATCH_CHARS and end < len(texts):
                     continue
-                found = tool.align([t.as_py() for t in texts[start:end]])
-                none = np.zeros(0, np.int64)
-                columns = [pa.array([f[0][k] if f else 0 for f in found], pa.int64()) for k in range(4)]
-                lists = [pa.array([f[k] if f else none for f in found], pa.list_(pa.int64())) for k in (2, 3)]
+                found, groups, distinct, pairs, times = tool.aligned(texts[start:end].to_pylist())
+                columns = [pa.array(found[:, k].copy(), pa.int64()) for k in range(4)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(distinct)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64())) for values in (pairs, times)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[start:end], *columns, pa.array([f[1] if f else "" for f in found], pa.string()), *lists],
+                    [batch.column("doc_id")[start:end], *columns, pa.array(groups, pa.string()), *lists],
                     ["doc_id", *counts, "groups", "pairs", "times"],
                 )
                 start, held = end, 0

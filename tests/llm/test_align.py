@@ -97,3 +97,13 @@ def test_segments_are_kept_in_bounds(monkeypatch):
     texts = [" ".join(f"w{k * j}" for j in range(40)) for k in range(20)] + ["long" * 100]
     assert tool.align(texts)[3][1] == align.Aligner(A, B).align(texts[3:4])[0][1]
     assert len(tool.kept) <= 50 and not any(len(s) > align.LONGEST_KEPT for s in tool.kept)
+
+
+def test_texts_together_are_as_alone():
+    texts = ["one two  three", None, "", "ﬁne café naïve \U0001f9ff x", "long" * 100 + " one", "two one " + "tall" * 90, "\x00 a", "one\ttwo\n three "]
+    tool = align.Aligner(A, B)
+    alone = [align.Aligner(A, B).align([t])[0] for t in texts]
+    plain = lambda rows: [r and (r[0], r[1], r[2].tolist(), r[3].tolist()) for r in rows]
+    for order in (range(8), range(7, -1, -1)):
+        assert plain(tool.align([texts[k] for k in order])) == plain([alone[k] for k in order])
+    assert tool.links.size == tool.counts[:, 3].sum() and len(tool.texts) == len(tool.counts) == len(tool.kept)
