@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -36,28 +36,36 @@ _DECLARED = re.compile(_ENCODING)
 HEAD_BYTES = 200
 
 
-@F.pandas_udf(StringType())
-def _decoded(bodies: pd.Series, packed: pd.Series, encodings: pd.Series) -> pd.Series:
-    """Unpacked and decoded bodies; null for a packed one that does not unpack."""
+# Bodies of a batch that are decoded before they go into Arrow's memory.
+DECODED_AT_ONCE = 256
+
+
+def _text(body: bytes | None, zipped: bool, encoding: str | None) -> str | None:
+    if body is None:
+        return None
+    try:
+        plain = zlib.decompress(body, wbits=31) if zipped else body
+    except zlib.error:
+        return None
+    if zipped:
+        declared = _DECLARED.search(plain[:HEAD_BYTES].decode("latin-1"))
+        encoding = declared[1] if declared else None
+    if plain[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        encoding = "utf-16"
+    try:
+        return plain.decode(encoding or "utf-8", "replace").removeprefix("\ufeff")
+    except LookupError:
+        return plain.decode("utf-8", "replace")
 
-    def text(body: bytes | None, zipped: bool, encoding: str | None) -> str | None:
-        if body is None:
-            return None
-        try:
-            plain = zlib.decompress(body, wbits=31) if zipped else body
-        except zlib.error:
-            return None
-        if zipped:
-            declared = _DECLARED.search(plain[:HEAD_BYTES].decode("latin-1"))
-            encoding = declared[1] if declared else None
-        if plain[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            encoding = "utf-16"
-        try:
-            return plain.decode(encoding or "utf-8", "replace").removeprefix("\ufeff")
-        except LookupError:
-            return plain.decode("utf-8", "replace")
-
-    return pd.Series([text(*row) for row in zip(bodies, packed, encodings)], dtype=object)
+
+@F.arrow_udf(StringType())
+def _decoded(bodies: pa.Array, packed: pa.Array, encodings: pa.Array) -> pa.Array:
+    """Unpacked and decoded bodies; null for a packed one that does not unpack."""
+    parts = [pa.array([], pa.string())]
+    for start in range(0, len(bodies), DECODED_AT_ONCE):
+        rows = zip(*(column.slice(start, DECODED_AT_ONCE) for column in (bodies, packed, encodings)))
+        parts.append(pa.array([_text(*(value.as_py() for value in row)) for row in rows], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def body_text(url: str = "url", body: str = "body") -> Column:

@@ -196,3 +196,19 @@ def test_layout_keeps_neighbours(spark):
     np.fill_diagonal(gap, np.inf)
     same = [laid[i].url[:2] == laid[j].url[:2] for i, j in enumerate(gap.argmin(axis=1))]
     assert len(laid) == 60 and np.mean(same) > 0.9
+
+
+def test_only_packed_bodies_pass_through_python(spark):
+    import zlib
+
+    from sitegauge.plans import inputs as I
+
+    packed = zlib.compress(b"<urlset>\xc3\xa9</urlset>", wbits=31)
+    rows = [(f"u{i}.xml.gz", packed if i % 3 else b"no gzip") for i in range(600)] + [("u.xml", "<urlset>é</urlset>".encode()), ("n.xml.gz", None)]
+    bodies = spark.createDataFrame(rows, "url string, body binary").coalesce(1)
+    found = {r.url: r.text for r in bodies.select("url", X.body_text().alias("text")).collect()}
+    assert found["n.xml.gz"] is None and found["u.xml"] == "<urlset>é</urlset>"
+    assert all(found[f"u{i}.xml.gz"] == ("<urlset>é</urlset>" if i % 3 else None) for i in range(600))
+    # plain sitemaps go to the packing function as nulls
+    texts = spark.createDataFrame([("a",), (None,)], "text string").coalesce(1)
+    assert [r.out is None for r in texts.select(I._gzip("text").alias("out")).collect()] == [False, True]
