@@ -4,10 +4,11 @@ The patterns give the base spans. Generators of high recall propose further span
 overlap: spelled-out addresses, long numbers with any separators, grouped identifiers, bank account
 numbers, hexadecimal addresses. Trees score each by its format, checksum and context.
 
-They are trained here on a bounded sample of documents. A proposal is a positive if it is a base span of its kind or
+They are trained here on the proposals of all documents: rows that are equal are counted once, and each level of a tree is one
+pass over them that brings back sums by feature and bin. A proposal is a positive if it is a base span of its kind or
 passes its kind's own rule (an account's remainder by 97, eight hexadecimal groups, a spelled-out address whose
 last label is letters, a valid identity number beside a word for it), a negative if it fails its format's check, and stays out if it could
-be either. As a sample may hold few of these forms, each of its base spans is also rewritten, in its place, into the forms that the base
+be either. As documents may hold few of these forms, each base span is also rewritten, in its place, into the forms that the base
 patterns do not take, and into lookalikes of them (clock times, dates, wrong check digits). A threshold for each generator is
 set on documents that training left out, the least at which nearly all that pass are positives and nearly none of the
 negatives that the documents hold themselves does. What passes is redacted too.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import ipaddress
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-#: Documents that the trees may learn from, and proposals of them.
-SAMPLE_DOCS = 20_000
-SAMPLE_ROWS = 40_000
+from sitegauge.session import stored
+
 TREES = 40
 DEPTH = 3
 RATE = 0.3
@@ -39,7 +39,9 @@ PRECISION = 0.98
 LEAST_PASSED = 20
 #: Most of the documents' own negatives that may reach a threshold.
 OWN_PASSED = 0.01
-#: Rewritings of each base span of the sample.
+#: Cells of a logit's unit in which scores are counted for a threshold.
+CELLS = 64
+#: Rewritings of each base span.
 REWRITINGS = 4
 
 # The base patterns. Look-behinds only spare repeated attempts inside one run.
@@ -197,51 +199,70 @@ class Trees:
         x = np.minimum(x, BINS - 1)
         logit = np.full(len(x), self.start)
         for tree in self.nodes:
-            at = np.zeros(len(x), dtype=np.int64)
-            feature, cut = (np.array([n[k] for n in tree]) for k in (0, 1))
-            value = np.array([n[2] for n in tree])
-            for _ in range(DEPTH):
-                inner = feature[at] >= 0
-                right = x[np.arange(len(x)), np.maximum(feature[at], 0)] > cut[at]
-                at = np.where(inner, 2 * at + 1 + right, at)
-            logit += value[at]
+            logit += np.array([n[2] for n in tree])[_place(x, tree, DEPTH)]
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Trees of DEPTH for the logistic loss, by histograms of the binned features."""
-    x = np.minimum(x, BINS - 1)
-    share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+def _place(x: np.ndarray, tree: list[tuple[int, int, float, float]], steps: int) -> np.ndarray:
+    """The node of every row after so many steps from the root."""
+    feature, cut = (np.array([n[k] for n in tree]) for k in (0, 1))
+    at = np.zeros(len(x), dtype=np.int64)
+    for _ in range(steps):
+        right = x[np.arange(len(x)), np.maximum(feature[at], 0)] > cut[at]
+        at = np.where(feature[at] >= 0, 2 * at + 1 + right, at)
+    return at
+
+
+def histograms(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Trees, tree: list, level: int) -> np.ndarray:
+    """Sums of slope, curve and rows by node of the level, feature and bin, over rows that stand for ``n`` each."""
+    x, width, first = np.minimum(x, BINS - 1).astype(np.int64), x.shape[1], 2**level - 1
+    p, at = model.score(x), _place(x, tree, level) - first
+    inside = at >= 0
+    x, p, y, n, at = x[inside], p[inside], y[inside], n[inside], at[inside]
+    flat = (x + BINS * np.arange(width) + BINS * width * at[:, None]).ravel()
+    sums = [np.bincount(flat, weights=np.repeat(v * n, width), minlength=BINS * width << level) for v in (y - p, p * (1 - p), np.ones(len(y)))]
+    return np.array(sums).reshape(3, 1 << level, width, BINS)
+
+
+def grow(share: float, sums_of: Callable[[Trees, list, int], np.ndarray]) -> Trees:
+    """Trees of DEPTH for the logistic loss, by histograms of the binned features; ``sums_of`` gives those of a level."""
+    share = min(max(share, 1e-4), 1 - 1e-4)
     model = Trees(start=float(np.log(share / (1 - share))))
-    logit, width = np.full(len(y), model.start), x.shape[1]
-    flat = x + BINS * np.arange(width)
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-logit))
-        slope, curve = y - p, p * (1 - p)
-        tree, rows_of = [(-1, 0, 0.0, 0.0)] * (2 ** (DEPTH + 1) - 1), {0: np.arange(len(y))}
-        for at in range(2**DEPTH - 1):
-            rows = rows_of.get(at)
-            if rows is None or len(rows) < 10:
-                continue
-            sums = [np.bincount(flat[rows].ravel(), weights=np.repeat(v[rows], width), minlength=BINS * width).reshape(width, BINS).cumsum(axis=1) for v in (slope, curve)]
-            (left, weigh), (total, whole) = sums, (slope[rows].sum(), curve[rows].sum())
-            gain = left**2 / (weigh + 1) + (total - left) ** 2 / (whole - weigh + 1) - total**2 / (whole + 1)
-            best = int(np.argmax(gain[:, :-1]))
-            f, cut = divmod(best, BINS - 1)
-            if gain[f, cut] < 1e-3:
-                continue
-            tree[at] = (f, cut, 0.0, 0.0)
-            right = x[rows, f] > cut
-            rows_of[2 * at + 1], rows_of[2 * at + 2] = rows[~right], rows[right]
-        for at, rows in rows_of.items():
-            if tree[at][0] < 0 and len(rows):
-                value = RATE * slope[rows].sum() / (curve[rows].sum() + 1)
-                tree[at] = (-1, 0, float(value), 0.0)
-                logit[rows] += value
+        tree, value_of = [(-1, 0, 0.0, 0.0)] * (2 ** (DEPTH + 1) - 1), {}
+        for level in range(DEPTH):
+            first, sums = 2**level - 1, sums_of(model, tree, level)
+            if not level:
+                value_of[0] = sums[:, 0, 0].sum(axis=1)
+            for at in range(first, 2 * first + 1):
+                if at not in value_of or value_of[at][2] < 10:
+                    continue
+                total, whole, _rows = value_of[at]
+                left, weigh, rows = sums[:, at - first].cumsum(axis=2)
+                gain = left**2 / (weigh + 1) + (total - left) ** 2 / (whole - weigh + 1) - total**2 / (whole + 1)
+                # the order in which rows are summed must not choose between equal gains
+                best = int(np.argmax(np.round(gain[:, :-1], 6)))
+                f, cut = divmod(best, BINS - 1)
+                if gain[f, cut] < 1e-3:
+                    continue
+                tree[at] = (f, cut, 0.0, 0.0)
+                value_of[2 * at + 1] = np.array([left[f, cut], weigh[f, cut], rows[f, cut]])
+                value_of[2 * at + 2] = value_of[at] - value_of[2 * at + 1]
+            if not any(node[0] >= 0 for node in tree[first : 2 * first + 1]):
+                break
+        for at, (slope, curve, rows) in value_of.items():
+            if tree[at][0] < 0 and rows:
+                tree[at] = (-1, 0, float(RATE * slope / (curve + 1)), 0.0)
         model.nodes.append(tree)
     return model
 
 
+def boost(x: np.ndarray, y: np.ndarray) -> Trees:
+    """:func:`grow` over rows in memory."""
+    n = np.ones(len(y))
+    return grow(float(y.mean()), lambda model, tree, level: histograms(x, y, n, model, tree, level))
+
+
 def _label(text: str, first: int, last: int, generator: int) -> int | None:
     """1 or 0 for a proposal clear of all base spans, None if it could be either."""
     span = text[first:last]
@@ -298,17 +319,29 @@ def _forms(kind: int, span: str, rng: random.Random) -> Iterator[tuple[str, str,
         yield rng.choice((word, "", "part no. ")), f"{rng.choice((0, 666, *range(900, 1000))):03d}{tail}", IDENTITY, 0
 
 
-def _training_rows(text: str, seed: int) -> Iterator[tuple[list[int], int, int]]:
-    """(features, label, 1 if rewritten) of a text's proposals and of its base spans' rewritten forms."""
-    base = base_spans(text)
-    spans = {(a, k, b) for a, k, b in base}
-    for first, kind, last, generator in proposals(text):
-        if (first, kind, last) in spans:
-            yield features(text, first, last, generator), 1, 0
-        elif not any(a < last and first < b for a, _, b in base):
-            label = _label(text, first, last, generator)
-            if label is not None:
-                yield features(text, first, last, generator), label, 0
+def _clear(base: list[Span], proposed: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The proposals that overlap no base span."""
+    return [c for c in proposed if not any(a < c[2] and c[0] < b for a, _, b in base)]
+
+
+def _packed(x: list[int], *more: int) -> bytes:
+    return bytes([*(min(v, BINS - 1) for v in x), *more])
+
+
+def _read(text: str, seed: int) -> tuple[list[Span], list[tuple[int, int, int, int]], list[bytes], list[bytes]]:
+    """Base spans, proposals clear of them with their binned features, and the rows to learn from.
+
+    A row has the binned features of a proposal or of a base span's rewritten form, its label, 1 if
+    rewritten, and 1 if its document is set aside.
+    """
+    base, proposed, aside = base_spans(text), proposals(text), seed >> 32 & 1
+    spans, open_ = set(base), _clear(base, proposed)
+    rows = [_packed(features(text, a, b, g), 1, 0, aside) for a, k, b, g in proposed if (a, k, b) in spans]
+    facts = [_packed(features(text, a, b, g)) for a, _, b, g in open_]
+    for fact, (first, _, last, generator) in zip(facts, open_):
+        label = _label(text, first, last, generator)
+        if label is not None:
+            rows.append(fact + bytes([label, 0, aside]))
     rng = random.Random(seed)
     for first, kind, last in base:
         for _ in range(REWRITINGS):
@@ -318,70 +351,115 @@ def _training_rows(text: str, seed: int) -> Iterator[tuple[list[int], int, int]]
                 around = before + form + text[last : last + 8]
                 place = (len(before), ALL_KINDS.index(PROPOSERS[generator][0]), len(before) + len(form), generator)
                 if place in proposals(around):
-                    yield features(around, place[0], place[2], generator), label, 1
+                    rows.append(_packed(features(around, place[0], place[2], generator), label, 1, aside))
+    return base, open_, facts, rows
 
 
-def fit(docs: DataFrame) -> Trees:
-    """Trees from the proposals of at most about SAMPLE_DOCS documents, picked by a hash of the doc_id."""
-    share = min(1.0, SAMPLE_DOCS / max(docs.count(), 1))
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("pii"))
-    picked = docs.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def _facts(docs: DataFrame) -> DataFrame:
+    """doc_id, base and open (places of spans and of proposals, flat), facts (their features) and rows of every document."""
+    kinds = {"base": pa.list_(pa.int32()), "open": pa.list_(pa.int32()), "facts": pa.list_(pa.binary()), "rows": pa.list_(pa.binary())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            orders, asides, made = [], [], []
-            for own, text in zip(batch.column("o").to_pylist(), batch.column("text")):
-                rows = list(_training_rows(text.as_py() or "", own))
-                made += rows
-                orders += [own + 0x9E3779B9 * k & 0x7FFFFFFFFFFFFFFF for k in range(len(rows))]
-                asides += [own >> 32 & 1] * len(rows)
-            columns = [pa.array([row[k] for row in made], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int64()), pa.array(asides, pa.int32()), *columns], ["o", "aside", "x", "y", "made"])
-
-    text = F.col("text").cast("string").alias("text")
-    rows = picked.select(order.alias("o"), text).mapInArrow(run, "o long, aside int, x array<int>, y int, made int")
-    got = rows.orderBy("o", "x", "y").limit(SAMPLE_ROWS).toArrow()
-    y, aside, made = (got.column(name).to_numpy() for name in ("y", "aside", "made"))
-    aside = aside == 1
-    if not 0 < y[~aside].sum() < (~aside).sum():
+            found = [_read(t.as_py() or "", o) for o, t in zip(batch.column("o").to_pylist(), batch.column("text"))]
+            flat = [([v for s in base for v in s], [v for c in open_ for v in c], facts, rows) for base, open_, facts, rows in found]
+            columns = [pa.array([f[k] for f in flat], kind) for k, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *kinds])
+
+    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("pii"))
+    rest = StructType.fromDDL("base array<int>, open array<int>, facts array<binary>, rows array<binary>")
+    schema = StructType([docs.schema["doc_id"], *rest.fields])
+    return docs.select("doc_id", order.alias("o"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label, rewritten, set aside, and how many such rows."""
+    rows = np.frombuffer(b"".join(batch.column("row").to_pylist()), np.uint8).reshape(batch.num_rows, -1).astype(np.int64)
+    return rows[:, :-3], rows[:, -3], rows[:, -2], rows[:, -1], batch.column("n").to_numpy()
+
+
+def _learn(facts: DataFrame) -> Trees:
+    """Trees and thresholds from all rows of :func:`_facts`, equal ones counted once."""
+    rows = stored(facts.select(F.explode("rows").alias("row")).groupBy("row").agg(F.count("*").alias("n")), "pii")
+    part = rows.select(F.substring("row", -1, 1).alias("aside"), F.substring("row", -3, 1).alias("y"), "n").groupBy("aside", "y")
+    counts = {(r["aside"][0], r["y"][0]): r["n"] for r in part.agg(F.sum("n").alias("n")).collect()}
+    none, some = (counts.get((0, y), 0) for y in (0, 1))
+    if not none or not some:
         return Trees()
-    x = np.array(got.column("x").to_pylist(), dtype=np.int64)
-    model = boost(x[~aside], y[~aside])
-    p = model.score(x[aside])
-    for generator in np.unique(x[aside, 0]):
-        own = x[aside, 0] == generator
-        limit = _threshold(p[own], y[aside][own], made[aside][own])
+
+    def sums_of(model: Trees, tree: list, level: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                x, y, _, aside, n = _unpacked(batch)
+                fit = aside == 0
+                found = histograms(x[fit], y[fit], n[fit], model, tree, level)
+                total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        parts = rows.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist()
+        return sum(np.frombuffer(p).reshape(3, 1 << level, -1, BINS) for p in parts)
+
+    model = grow(some / (none + some), sums_of)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, made, aside, n = _unpacked(batch)
+            p = model.score(x)
+            cell = np.floor(CELLS * np.log(p / (1 - p))).astype(np.int64)
+            kept = aside == 1
+            yield pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (x[:, 0], cell, y, made, n, p)], ["generator", "cell", "y", "made", "n", "p"])
+
+    cells = rows.mapInArrow(scored, "generator long, cell long, y long, made long, n long, p double").groupBy("generator", "cell", "y", "made")
+    got = cells.agg(F.sum("n").alias("n"), F.min("p").alias("p")).toArrow()
+    generator, cell, y, made, n, p = (got.column(c).to_numpy() for c in ("generator", "cell", "y", "made", "n", "p"))
+    for g in np.unique(generator):
+        own = generator == g
+        _, of = np.unique(cell[own], return_inverse=True)
+        least = np.ones(of.max() + 1)
+        np.minimum.at(least, of, p[own])
+        limit = _threshold(least[of], y[own], made[own], n[own])
         if limit is not None:
-            model.thresholds[int(generator)] = limit
+            model.thresholds[int(g)] = limit
     return model
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, made: np.ndarray) -> float | None:
+def fit(docs: DataFrame) -> Trees:
+    """Trees from the proposals of all documents; a hash of the doc_id sets half of the documents aside for thresholds."""
+    return _learn(_facts(docs))
+
+
+def _threshold(p: np.ndarray, y: np.ndarray, made: np.ndarray, n: np.ndarray | None = None) -> float | None:
     """The least score at which PRECISION of those that reach it are positives and OWN_PASSED of the documents' own negatives do."""
     rank = np.argsort(-p, kind="stable")
-    reached = np.arange(1, len(p) + 1)
-    own = ((y == 0) & (made == 0))[rank]
-    fits = (np.cumsum(y[rank]) >= PRECISION * reached) & (reached >= LEAST_PASSED) & (np.cumsum(own) <= OWN_PASSED * own.sum())
+    n = (np.ones(len(p), np.int64) if n is None else n)[rank]
+    reached = np.cumsum(n)
+    own = n * ((y == 0) & (made == 0))[rank]
+    fits = (np.cumsum(n * y[rank]) >= PRECISION * reached) & (reached >= LEAST_PASSED) & (np.cumsum(own) <= OWN_PASSED * own.sum())
     # of equal scores all pass or none
     passed = np.flatnonzero(fits & np.append(np.diff(p[rank]) != 0, True))
     return float(p[rank][passed[-1]]) if len(passed) else None
 
 
+def _passing(base: list[Span], open_: list[tuple[int, int, int, int]], scores: list[float], model: Trees) -> list[Span]:
+    """Base spans and the proposals that pass, the most likely of those that overlap."""
+    kept: list[Span] = []
+    for score, (a, k, b, g) in sorted(zip(scores, open_), key=lambda r: (-r[0], r[1])):
+        if g in model.thresholds and score >= model.thresholds[g] and not any(x < b and a < y for x, _, y in kept):
+            kept.append((a, k, b))
+    return sorted([*base, *kept])
+
+
 def all_spans(text: str | None, model: Trees) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: with the proposals that pass, the most likely of those that overlap."""
     text = text or ""
     base = base_spans(text)
-    if not model.thresholds:
-        return base, base
-    open_ = [c for c in proposals(text) if c[3] in model.thresholds and not any(a < c[2] and c[0] < b for a, _, b in base)]
+    open_ = [c for c in _clear(base, proposals(text)) if c[3] in model.thresholds] if model.thresholds else []
     if not open_:
         return base, base
     scores = model.score(np.array([features(text, a, b, g) for a, _, b, g in open_], dtype=np.int64))
-    kept: list[Span] = []
-    for score, (a, k, b, g) in sorted(zip(scores.tolist(), open_), key=lambda r: (-r[0], r[1])):
-        if score >= model.thresholds[g] and not any(x < b and a < y for x, _, y in kept):
-            kept.append((a, k, b))
-    return base, sorted([*base, *kept])
+    return base, _passing(base, open_, scores.tolist(), model)
 
 
 def spans_text(spans: list[Span]) -> str:
@@ -394,18 +472,38 @@ def scan(docs: DataFrame, model: Trees) -> DataFrame:
     Places are in code points, the end exclusive. A null text counts as empty. Repeated rows stay
     repeated, a null doc_id stays null, an empty table gives an empty result, further columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = lambda batch, trees: [all_spans(t.as_py(), trees) for t in batch.column("text")]
+    return _span_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), found, model)
+
+
+def detect(docs: DataFrame) -> DataFrame:
+    """:func:`scan` of ``docs`` by the trees that :func:`fit` learns from the same rows; each text is read once."""
+    facts = stored(_facts(docs), "pii")
+
+    def found(batch: pa.RecordBatch, trees: Trees) -> list[tuple[list[Span], list[Span]]]:
+        split = lambda flat, width: [tuple(flat[k : k + width]) for k in range(0, len(flat), width)]
+        base, open_ = ([split(f, width) for f in batch.column(name).to_pylist()] for name, width in (("base", 3), ("open", 4)))
+        packed = b"".join(f for own in batch.column("facts").to_pylist() for f in own)
+        scores = iter(())
+        if packed and trees.thresholds:
+            scores = iter(trees.score(np.frombuffer(packed, np.uint8).reshape(sum(map(len, open_)), -1).astype(np.int64)).tolist())
+        return [(b, _passing(b, o, [s for _, s in zip(o, scores)], trees)) for b, o in zip(base, open_)]
+
+    return _span_rows(facts.drop("rows"), found, _learn(facts))
+
+
+def _span_rows(rows: DataFrame, found: Callable[[pa.RecordBatch, Trees], list[tuple[list[Span], list[Span]]]], model: Trees) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [f"n_{k}" for k in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [all_spans(t.as_py(), shared.value) for t in batch.column("text")]
-            counts = [pa.array([sum(s[1] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-            texts = [pa.array([spans_text(f[which]) for f in found], pa.string()) for which in (0, 1)]
+            spans = found(batch, shared.value)
+            counts = [pa.array([sum(s[1] == k for s in base) for base, _ in spans], pa.int64()) for k in range(len(KINDS))]
+            texts = [pa.array([spans_text(s[which]) for s in spans], pa.string()) for which in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, *texts], ["doc_id", *names, "base", "spans"])
 
-    schema = StructType([docs.schema["doc_id"]])
+    schema = StructType([rows.schema["doc_id"]])
     for name in names:
         schema = schema.add(name, LongType())
-    schema = schema.add("base", StringType()).add("spans", StringType())
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema.add("base", StringType()).add("spans", StringType()))

@@ -92,7 +92,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = pii.scan(docs, pii.fit(docs))
+    found = pii.detect(docs)
     counts = [f"n_{kind}" for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 

@@ -334,3 +334,16 @@ def test_batch_scores_match_single_features(spark):
         at, value = quality.sparse(text or "")
         want.append((model.weights[at] * value).sum() if len(at) else 0.0)
     assert np.allclose(quality._sums(model.weights, texts), want, atol=1e-4)
+
+
+def test_personal_data_is_learnt_from_every_document(spark):
+    """Forms that only documents late in the hash order hold get their threshold, behind far more rows of other forms."""
+    ids = spark.range(160).withColumn("o", F.xxhash64(F.col("id").cast("string"), F.lit("pii")))
+    order = [r["id"] for r in ids.orderBy("o").collect()]
+    emails = " ".join(f"write to person{k}@mail{k}.example.org now" for k in range(100))
+    cards = " ".join("pay by card 4111 1111 1111 1111 or 5500 0000 0000 0004 today" for _ in range(3))
+    docs = spark.createDataFrame([(i, emails if k < 100 else cards) for k, i in enumerate(order)], "doc_id long, text string")
+    model = pii.fit(docs)
+    assert {pii.EMAIL, pii.CARD_NUMBER, pii.ACCOUNT} <= set(model.thresholds)
+    found = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert len(found) == 160 and found == {r["doc_id"]: r for r in pii.scan(docs, model).collect()}
