@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.llm.common import counted_small
-from sitegauge.session import materialize
+from sitegauge.session import let_go, materialize
 
 #: Neighbours from which a node is a hub, whose links are kept from meeting in one task.
 HUB_LINKS = 256
@@ -42,10 +42,8 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = _with_least(links)
-    lifted = least.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select("u", F.col("m").alias("v"))
-    return lifted.unionByName(own).where(F.col("u") != F.col("v")).distinct()
+    ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return _with_least(links).select(ends.alias("end")).select("end.u", "end.v").where(F.col("u") != F.col("v")).distinct()
 
 
 def _state(links: DataFrame) -> tuple[int, int]:
@@ -65,6 +63,7 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         now = materialize(_small_star(_large_star(now)))
+        let_go(links.sparkSession)
         state, before = _state(now), state
         if state == before:
             break

@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from sitegauge.llm.common import small_side
 from sitegauge.llm.components import components
-from sitegauge.session import materialize, scratch_path
+from sitegauge.session import let_go, materialize, scratch_path
 
 WIDTH = 5
 #: Least similarity, in hundredths: 100 * intersection >= PERCENT * union.
@@ -273,6 +273,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, width: int, s
                 )
 
     sets = materialize(chosen.mapInArrow(run, "node long, held array<long>").dropDuplicates(["node"]))
+    let_go(docs.sparkSession)
     load = pairs.join(sets.select(F.col("node").alias("v"), F.size("held").alias("n")), "v").groupBy("u").agg(F.sum("n").alias("load"))
     shares = load.select("u", F.ceil(F.col("load") / SHARE_SHINGLES).cast("int").alias("shares"))
     placed = pairs.join(shares, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int"))
@@ -333,11 +334,14 @@ def linked(docs: DataFrame, texts: DataFrame, frequent, width: int, seed: int, p
     pairs = met.where("n = 2").select("band", "u", "v").unionByName(
         members.where("node != u").select("band", "u", F.col("node").alias("v"))
     )
+    let_go(spark)
     first = materialize(_verified(_may_link(pairs, sketches, percent), docs, texts, width, seed, percent))
+    let_go(spark)
     roots = materialize(components(first))
     rooted = members.select("key", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("one"), F.max("root").alias("other")).where("n > 2 and one != other")
     open_ = materialize(rooted.join(apart.select("key", "n"), "key"))
+    let_go(spark)
     if open_.isEmpty():
         return roots
     few = open_.where(F.col("n") <= CROWD)
@@ -347,6 +351,7 @@ def linked(docs: DataFrame, texts: DataFrame, frequent, width: int, seed: int, p
     later = _verified(_may_link(left.unionByName(crowds), sketches, percent), docs, texts, width, seed, percent)
     # the components found are links of their own
     later = materialize(later)
+    let_go(spark)
     return roots if later.isEmpty() else components(later.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
@@ -364,6 +369,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         if classes.where("low != high").isEmpty():  # else two sets share a node: hash anew
             break
     frequent = _frequent(docs, marked.count(), width, seed)
+    let_go(docs.sparkSession)
     roots = linked(docs, classes.select("node", "key"), frequent, width, seed, percent)
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.llm import parity
+from sitegauge.llm.components import components
 
 
 def shingles(text, width=5):
@@ -118,3 +119,13 @@ def test_sets_are_cut_into_blocks_alike_alone_and_together():
 
 def test_empty_table(spark):
     assert parity.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rounds_let_go_of_what_is_over(spark):
+    """Each round of the component search has the driver's garbage collected, so scratch of earlier rounds is dropped."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = old.getCollectionCount()
+    links = spark.createDataFrame([(k, k + 1) for k in range(20)], "u long, v long")
+    assert {r["root"] for r in components(links).collect()} == {0}
+    assert old.getCollectionCount() >= before + 3
