@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.operators import topicmap as M
+from sitegauge.plans import catalog
 from sitegauge.sources import sitemaps as X
 from sitegauge.sources import store as W
 from sitegauge.streaming import status as TS
@@ -212,3 +213,14 @@ def test_only_packed_bodies_pass_through_python(spark):
     # plain sitemaps go to the packing function as nulls
     texts = spark.createDataFrame([("a",), (None,)], "text string").coalesce(1)
     assert [r.out is None for r in texts.select(I._gzip("text").alias("out")).collect()] == [False, True]
+
+
+def test_sitemap_files_lie_in_few_folders(spark, tmp_path, monkeypatch):
+    """One file a sitemap, but no folder for each: folders are made, moved and listed one by one."""
+    rows = [(k, f"https://host{k}.example.com/en/page-{k}", "<html></html>") for k in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    found = catalog.QUERIES["a5_scan_sitemap_files"](spark, str(tmp_path)).collect()
+    assert sorted(r["url"] for r in found) == sorted(r[1] for r in rows)
+    files = list((tmp_path / "sitemaps").glob("*/part-*"))
+    assert len(files) == 300 and len({f.parent for f in files}) < 250
