@@ -56,6 +56,45 @@ def test_nearest_by_terms(spark, monkeypatch, rare, k, cell):
     assert got == brute_nearest(vectors, k)
 
 
+@pytest.mark.parametrize("every", [1, 3, 1000])
+def test_parts_meet_once(spark, monkeypatch, every):
+    """All pages, some or one of them ask; a page that does not ask goes to no cell of parts that do not."""
+    monkeypatch.setattr(SP, "CELL_PAGES", 16)
+    vectors = term_rows(spark).cache()
+    rows = vectors.withColumns({"h1": F.xxhash64("terms"), "h2": F.xxhash64(F.lit(7), "terms")})
+    groups = SP._in_url_order(SP.numbered(SP._copies(rows, 6))).cache()
+    numbers = sorted((r.site_id, r.urls[0], r.page) for r in groups.collect())
+    assert [n[2] for n in numbers] == sorted(n[2] for n in numbers)
+    urls = {page: (site, url) for site, url, page in numbers}
+    asking = groups.select("page").where(F.col("page").isin([page for _, _, page in numbers[::every]]))
+    # a page's list over all cells holds its nearest of each part, each once
+    found = SP._through_cells(asking, groups, 100).collect()
+    assert len(found) == len({(r.page, r.other) for r in found})
+    weights = dense(vectors)
+    got = {(urls[r.page], urls[r.other], round(r.similarity, 9)) for r in found}
+    want = {
+        ((site, one), (site, other), round(float(weights[site][one] @ weights[site][other]), 9))
+        for site, one, _ in numbers[::every]
+        for s, other, _ in numbers
+        if s == site and other != one and weights[site][one] @ weights[site][other] > 0
+    }
+    assert got == want
+
+
+def test_pages_that_rare_terms_cannot_settle_form_no_pairs(spark):
+    term = lambda name, df, w: (df, name, w)
+    rows = [("s", f"u{i}", [term(f"rare{i // 2}", 2, 0.6), term("often", 99, 0.8)]) for i in range(6)]
+    rows += [("s", f"v{i}", [term("own", 2, 1.0)]) for i in range(2)]
+    vectors = spark.createDataFrame(rows, "site_id string, url string, terms array<struct<df: long, term: string, w: double>>")
+    groups = SP.numbered(vectors.withColumn("page", F.monotonically_increasing_id()))
+    rest = F.sqrt(SP._squares(F.filter("terms", lambda t: t["df"] > 64)))
+    bounds = groups.select("site_id", "page", rest.alias("rest"), F.lit(0.8).alias("widest"))
+    named = groups.select("page", "url").collect()
+    urls = {r.page: r.url for r in named}
+    # u: 0.36 known of one page, while the frequent term adds up to 0.64; v has no frequent term
+    assert {(urls[r.page], urls[r.other]) for r in SP._known(groups, bounds, 64, 1).collect()} == {("v0", "v1"), ("v1", "v0")}
+
+
 def test_cell_similarities():
     rng = np.random.default_rng(2)
     a, b = rng.random((40, 90)) * (rng.random((40, 90)) < rng.random(90)), rng.random((30, 90)) * (rng.random((30, 90)) < 0.1)
