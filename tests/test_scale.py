@@ -27,6 +27,15 @@ def test_weights_of_a_site_in_slices(spark, monkeypatch):
     assert {tuple(r) for r in D.tfidf_weights(texts, D.URL_ONLY).collect()} == whole
 
 
+def test_weights_of_a_site_in_slices_make_terms_once(spark, monkeypatch):
+    monkeypatch.setattr(D, "PAGES_PER_SLICE", 4)
+    rows = [("s", f"p{i}", f"red w{i}") for i in range(9)]
+    weights = D.tfidf_weights(spark.createDataFrame(rows, "site_id string, url string, text string"), D.URL_ONLY)
+    # the sum over slices reads the counted rows, not the texts again
+    assert "regexp_extract_all" not in weights._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.term, r.df) for r in weights.collect()} == {(f"w{i}", 1) for i in range(9)} | {(f"red w{i}", 1) for i in range(9)}
+
+
 def test_tiles_are_bounded_and_meet_every_pair_once(monkeypatch):
     monkeypatch.setattr(B, "TILE_ROWS", 4)
     monkeypatch.setattr(B, "TILE_VALUES", 12)
