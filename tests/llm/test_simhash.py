@@ -107,6 +107,16 @@ def test_trees_lose_no_pair():
     assert copies < 12 * len(fps)
 
 
+def test_stars_take_no_rounds(spark, monkeypatch):
+    from sitegauge.llm import components as C
+
+    monkeypatch.setattr(C, "_large_star", lambda links: 1 / 0)
+    links = spark.createDataFrame([(3, 1), (1, 2), (8, 7), (8, 7), (5, 5), (None, 4)], "u long, v long")
+    assert {(r.node, r.root) for r in C.components(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert not C._are_stars(spark.createDataFrame([(3, 2), (2, 1)], "u long, v long"))
+    assert not C._are_stars(spark.createDataFrame([(3, 2), (3, 1)], "u long, v long"))
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 1), (20, 21), (None, 4), (21, 20)]
     found = {(r.node, r.root) for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
