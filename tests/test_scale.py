@@ -1,5 +1,6 @@
 """Bounds of memory and work that hold for sites of any size."""
 
+import re
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +11,7 @@ from sitegauge import session as S
 from sitegauge.operators import blocks as B
 from sitegauge.operators import pairs as P
 from sitegauge.operators import ranks as G
+from sitegauge.operators import termcounts as T
 from sitegauge.operators import tfidf as D
 
 
@@ -36,6 +38,26 @@ def test_weights_of_a_site_in_slices_make_terms_once(spark, monkeypatch):
     assert {(r.term, r.df) for r in weights.collect()} == {(f"w{i}", 1) for i in range(9)} | {(f"red w{i}", 1) for i in range(9)}
 
 
+def test_terms_of_many_pages_stay_where_they_are(spark, monkeypatch):
+    """Pages whose terms are many give the same rows, and no shuffle deals out terms: blocks ask for their page counts."""
+    rows = [("s", f"p{i}", f"red hat w{i % 3} x{i}") for i in range(30)] + [("s", "p0", "red coat"), ("s", None, "blue hat"), ("s", None, "hat"), ("s", "none", None)]
+    rows += [("t", "q", "red hat"), (None, "r", "red hat"), ("u", "a", "same same"), ("u", "b", "same other")]
+    texts = spark.createDataFrame(rows, "site_id string, url string, text string")
+    weights, vectors = (f(texts, D.CONTENT_ONLY).collect() for f in (D.tfidf_weights, D.term_vectors))
+    monkeypatch.setattr(D, "MOVED_PAGES", 0)
+    monkeypatch.setattr(T, "BLOCK_TERMS", 25)
+    found = D.term_vectors(texts, D.CONTENT_ONLY)
+    keys = re.findall(r"Exchange hashpartitioning\((\w+?)(?:#\d+\w*)?[,)]", found._jdf.queryExecution().executedPlan().toString())
+    assert set(keys) == {"block", "part"}
+    assert sorted(map(str, found.collect())) == sorted(map(str, vectors))
+    assert sorted(map(str, D.tfidf_weights(texts, D.CONTENT_ONLY).collect())) == sorted(map(str, weights))
+    # numbers are one to one with terms
+    named = {(r.site_id, r.url): sorted((t.df, t.w) for t in r.terms) for r in vectors}
+    numbered = D.term_vectors(texts, D.CONTENT_ONLY, numbers=True).collect()
+    assert {(r.site_id, r.url): sorted((t.df, t.w) for t in r.terms) for r in numbered} == named
+    assert len({t.term for r in numbered for t in r.terms}) == len({(r.site_id, t.term) for r in vectors for t in r.terms})
+
+
 def test_tiles_are_bounded_and_meet_every_pair_once(monkeypatch):
     monkeypatch.setattr(B, "TILE_ROWS", 4)
     monkeypatch.setattr(B, "TILE_VALUES", 12)
