@@ -102,6 +102,30 @@ def test_cell_similarities():
     assert np.abs(SP.cell_similarities(*sides, 40, 30) - a @ b.T).max() < 1e-12
 
 
+def test_products_of_terms_in_units(spark, monkeypatch):
+    """Entries are dealt to units by term, and a page's products are summed over all of them."""
+    monkeypatch.setattr(SP, "UNIT_ENTRIES", 300)
+    monkeypatch.setattr(SP, "PACKED_ROWS", 16)
+    monkeypatch.setattr(SP, "SHARE_BITS", 3)
+    vectors = term_rows(spark).cache()
+    rows = SP.numbered(vectors).withColumns({"page": F.monotonically_increasing_id(), "alone": SP._squares(F.filter("terms", lambda t: t["df"] <= 1))})
+    rows = rows.withColumn("terms", F.filter("terms", lambda t: t["df"] > 1)).cache()
+    units = SP._units(rows).cache()
+    assert max(len(r.units) for r in units.collect()) > 3
+    columns = 3
+    q = rows.select("site_id", "url", "page", "alone", F.transform(F.array(*map(F.lit, range(columns))), lambda c: F.sin(F.col("page") * (c + 1.0))).alias("q")).cache()
+    found = SP._times_covariance(SP._slabs(SP.attach_by_site(rows, units)), units, q, columns)
+    got = {r.page: (r.site_id, list(r.q), np.array(r.y)) for r in found.collect()}
+    given = {(r.site_id, r.url): (r.page, list(r.q)) for r in q.collect()}
+    assert len(got) == found.count() == len(given)
+    for site, pages in dense(vectors).items():
+        a = np.array(list(pages.values()))
+        values = np.array([given[site, url][1] for url in pages])
+        for url, y in zip(pages, a @ (a.T @ values)):
+            page, own = given[site, url]
+            assert got[page][:2] == (site, own) and np.abs(got[page][2] - y).max() < 1e-12
+
+
 def test_sparse_pca_spans_the_leading_axes(spark):
     vectors = term_rows(spark, pages=120).cache()
     got = {}
