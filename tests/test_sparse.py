@@ -8,6 +8,7 @@ from sitegauge.operators import pairs as P
 from sitegauge.operators import sparse as SP
 from sitegauge.operators import tfidf as D
 from sitegauge.operators import topicmap as M
+from sitegauge.plans import analysis as A
 
 
 def term_rows(spark, seed=1, pages=70):
@@ -56,6 +57,45 @@ def test_nearest_by_terms(spark, monkeypatch, rare, k, cell):
     assert got == brute_nearest(vectors, k)
 
 
+def test_nearest_by_terms_in_rounds(spark, monkeypatch):
+    """Parts meet a few at a time, tiles of parts one by one."""
+    for name, value in (("CELL_PAGES", 12), ("TILE_PAGES", 5), ("ROUND_STEPS", 1)):
+        monkeypatch.setattr(SP, name, value)
+    vectors = term_rows(spark).cache()
+    got = {(r.site_id, r.url, r["rank"], r.neighbour, round(r.distance, 6)) for r in SP.nearest_by_terms(vectors, 4, 4).collect()}
+    assert got == brute_nearest(vectors, 4)
+
+
+@pytest.mark.parametrize("share", [0.0, 1e9])
+def test_similar_term_pairs_by_lists_and_whole(spark, monkeypatch, share):
+    monkeypatch.setattr(P, "DENSE_SHARE", share)
+    monkeypatch.setattr(SP, "CELL_PAGES", 16)
+    monkeypatch.setattr(SP, "TILE_PAGES", 7)
+    vectors = term_rows(spark).cache()
+    for bound, limit in ((0.2, 40), (0.5, 1000)):
+        want = []
+        for site, rows in dense(vectors).items():
+            near = sorted((-round(float(rows[a] @ rows[b]), 9), a, b) for a in rows for b in rows if a < b and rows[a] @ rows[b] > bound)
+            want += [(site, k, a, b) for k, (_, a, b) in enumerate(near[:limit], 1)]
+        got = P.similar_term_pairs(vectors, bound, limit, postings_per_sublist=4).collect()
+        assert sorted((r.site_id, r["rank"], r.url1, r.url2) for r in got) == sorted(want)
+
+
+def test_text_analysis_weighs_terms_once(spark, monkeypatch):
+    """The layout reads its term rows many times: they are stored, not made of the texts each time."""
+    seen = []
+
+    def stop(vectors, **options):
+        seen.append(vectors._jdf.queryExecution().optimizedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(A, "term_map", stop)
+    pages = spark.createDataFrame([("s", f"https://s/{i}", f"red hat w{i}") for i in range(4)], "site_id string, url string, processed_text string")
+    with pytest.raises(StopIteration):
+        A.text_analysis(pages, pages)
+    assert "regexp" not in seen[0] and "Relation" in seen[0]
+
+
 @pytest.mark.parametrize("every", [1, 3, 1000])
 def test_parts_meet_once(spark, monkeypatch, every):
     """All pages, some or one of them ask; a page that does not ask goes to no cell of parts that do not."""
